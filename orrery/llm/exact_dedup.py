@@ -14,7 +14,7 @@ import hashlib
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from orrery.llm.common import Stage, plain
 
@@ -22,7 +22,7 @@ from orrery.llm.common import Stage, plain
 HOT_SHARE = 1e-3
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def text_digest(text: pd.Series) -> pd.Series:
     """SHA-256 of the text after lower-casing A-Z only. UTF-8 keeps ASCII bytes apart from all others, so bytes suffice."""
     return text.map(lambda t: hashlib.sha256((t or "").encode().lower()).digest())
