@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from orrery.llm import byte_bpe, exact_dedup, langid, simhash
+from orrery.llm import byte_bpe, decontaminate, exact_dedup, langid, simhash
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
     "op4_byte_bpe": byte_bpe.query,
+    "op6_decontaminate": decontaminate.query,
     "op8_langid": langid.query,
     "op10_simhash": simhash.query,
 }
