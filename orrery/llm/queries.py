@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from orrery.llm import byte_bpe, decontaminate, exact_dedup, langid, simhash
+from orrery.llm import byte_bpe, decontaminate, exact_dedup, langid, pii, simhash, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_pii": pii.query,
     "op4_byte_bpe": byte_bpe.query,
     "op6_decontaminate": decontaminate.query,
     "op8_langid": langid.query,
@@ -13,5 +15,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_url_filter": url_filter.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
 }
