@@ -27,7 +27,7 @@ ENTRIES = [
     (6, "trusted", "www.cheap-pills.example.com", "allow", "remove", "2024-06-01"),
     (7, "region", "example.net/de", "block", "add", "2024-03-01"),
     (8, "region", "example.net/de", "block", "remove", "2024-11-30"),
-    (9, "trusted", "blog.example.net", "allow", "add", "2024-01-01"),
+    (9, "trusted", "blog.ththan.example.net", "allow", "add", "2024-01-01"),
     (10, "adult", "ththen.example.com", "block", "add", "2024-04-01"),
     (11, "adult", "ththen.example.com", "block", "remove", "2024-04-01"),
     (12, "adult", "therti.example.org", "block", "add", "2024-08-01"),
