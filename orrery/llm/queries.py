@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from orrery.llm import byte_bpe, decontaminate, exact_dedup, langid, pii, simhash, url_filter
+from orrery.llm import byte_bpe, decontaminate, exact_dedup, langid, pii, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_pii": pii.query,
     "op4_byte_bpe": byte_bpe.query,
+    "op5_sharding": sharding.query,
     "op6_decontaminate": decontaminate.query,
     "op8_langid": langid.query,
     "op10_simhash": simhash.query,
