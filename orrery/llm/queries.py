@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.llm import byte_bpe, decontaminate, exact_dedup, langid, pii, sharding, simhash, url_filter
+from orrery.llm import byte_bpe, decontaminate, exact_dedup, langid, pii, quality, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_byte_bpe": byte_bpe.query,
     "op5_sharding": sharding.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_quality": quality.query,
     "op8_langid": langid.query,
     "op10_simhash": simhash.query,
 }
