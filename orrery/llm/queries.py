@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.llm import byte_bpe, decontaminate, exact_dedup, langid, pii, quality, sharding, simhash, url_filter
+from orrery.llm import byte_bpe, decontaminate, exact_dedup, langid, pii, quality, sharding, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.query,
     "op7_quality": quality.query,
     "op8_langid": langid.query,
+    "op9_token_files": token_files.query,
     "op10_simhash": simhash.query,
 }
 
