@@ -3,8 +3,8 @@
 The index holds windows of WINDOW words of every benchmark item as TF-IDF vectors, reduced by a randomised SVD whose
 products with the window matrix are made by Spark tasks. Document frequencies are counted over all documents. Every
 document is read as windows of the same length, STRIDE words apart. A window whose weight lies mostly in words that no
-item has can't be like an item and is left out; the others are projected, and pairs with a cosine of COSINE or more are
-candidates. A candidate is confirmed by the longest common subsequence of the item's words and the words of the
+item has can't be like an item and is left out; the others are projected, and pairs with a cosine of COSINE or more and
+enough of the item's energy are candidates. Those that share words of enough weight are confirmed by the longest common subsequence of the item's words and the words of the
 document around the match: a share of SAME or more of the item, or PARAPHRASE or more where the item's last words, its
 answer, all stand there in order.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,34 +29,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from orrery.llm.common import plain, table
 
 WINDOW, STRIDE, ITEM_STRIDE = 16, 4, 4
-RANK, OVERSAMPLE, POWER = 64, 16, 2
-COSINE, SAME, PARAPHRASE, ANSWER = 0.5, 0.8, 0.6, 4
+RANK, OVERSAMPLE, POWER = 128, 16, 2
+#: Least cosine in the latent space, share of the item window's energy there that the document's window must have, and
+#: share of its squared weight in words that both have.
+COSINE, ENERGY, OVERLAP = 0.5, 0.4, 0.4
+SAME, PARAPHRASE, ANSWER = 0.8, 0.6, 4
 #: Share of a window's squared weight that must lie in words of the benchmark.
-KNOWN = 0.3
+KNOWN = 0.45
 MIN_WORDS, BLOCK, BATCH = 5, 2000, 2000
-CACHE = 400_000
-EDGES = ".,;:!?\"'()[]{}<>|*#$%&-–—…"
+APART = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
-class Words(dict):
-    """Raw word -> id of the word without outer punctuation; 0 for words that no item has."""
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased runs without white space and ASCII punctuation."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(APART).split()
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
 
-    def __missing__(self, raw: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[raw] = n = self.vocabulary.get(raw.strip(EDGES) or raw, 0)
-        return n
-
-    def ids(self, text: str | None) -> np.ndarray:
-        w = (text or "").lower().split()
-        return np.fromiter(map(self.__getitem__, w), np.int32, len(w))
-
-
-def words_of(text: str | None) -> list[str]:
-    return [w.strip(EDGES) or w for w in (text or "").lower().split()]
+def ids_of(vocabulary: dict[bytes, int], text: str | None) -> np.ndarray:
+    """Word ids; 0 for words that no item has."""
+    w = words_of(text)
+    return np.fromiter(map(vocabulary.get, w, repeat(0)), np.int32, len(w))
 
 
 def common_length(item: dict[int, int], size: int, region: list[int]) -> int:
@@ -87,11 +80,13 @@ def starts(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     items: list[tuple[int, list[int]]]
     weight: np.ndarray  # idf by word id; at 0 that of words that no item has
     basis: np.ndarray  # row of the projection by word id
+    words: np.ndarray  # word ids of item windows, padded with -1
     latent: np.ndarray  # unit vectors of item windows
+    norm: np.ndarray  # their lengths before
     of: np.ndarray  # item of each window
     at: np.ndarray  # its place in the item
 
@@ -112,9 +107,12 @@ class Index:
         tasks: dict[tuple[int, int, int], None] = {}
         for a in range(0, len(lo), 8192):
             place = lo[a : a + 8192, None] + np.arange(WINDOW)
-            x = self.basis[np.where(place < hi[a : a + 8192, None], flat[place], 0)].sum(1)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-            w, j = np.nonzero(x @ self.latent.T >= cosine)
+            word = np.where(place < hi[a : a + 8192, None], flat[place], 0)
+            x = self.basis[word].sum(1)
+            dot = x @ self.latent.T
+            length = np.linalg.norm(x, axis=1, keepdims=True)
+            w, j = np.nonzero(dot >= np.maximum(cosine * length, ENERGY * self.norm))
+            w, j = self.overlapping(word, w, j)
             w += a
             begin = (s[w] - self.at[j]) // ITEM_STRIDE
             tasks |= dict.fromkeys(zip(run[w].tolist(), self.of[j].tolist(), begin.tolist()))
@@ -131,6 +129,16 @@ class Index:
             out[r][item_id] = max(same, out[r].get(item_id, 0.0))
         return [sorted(x.items()) for x in out]
 
+    def overlapping(self, word: np.ndarray, w: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of candidate pairs those whose windows share words of enough weight."""
+        keep = np.zeros(len(w), bool)
+        for a in range(0, len(w), 8192):
+            item = self.words[j[a : a + 8192]]
+            weight = np.where(item < 0, 0, self.weight[item] ** 2)
+            both = (item[:, :, None] == word[w[a : a + 8192], None, :]).any(2)
+            keep[a : a + 8192] = (weight * both).sum(1) >= OVERLAP * weight.sum(1)
+        return w[keep], j[keep]
+
     def places(self, k: int) -> dict[int, int]:
         if not hasattr(self, "_places"):
             self._places: dict[int, dict[int, int]] = {}
@@ -139,19 +147,18 @@ class Index:
         return self._places[k]
 
 
-def document_frequency(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """In how many documents each word of the vocabulary stands, over all documents; and their number. Each task sends
     one row per word at most."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(shared.value)
         df = np.zeros(len(shared.value) + 1, np.int64)
         n = 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 n += 1
-                df[np.unique(words.ids(t))] += 1
+                df[np.unique(ids_of(shared.value, t))] += 1
         df[0] = n
         own = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(df[own])], ["word", "df"])
@@ -213,8 +220,11 @@ def build(docs: DataFrame, block: list[tuple[int, str]]) -> Index | None:
     basis = (basis * weight[:, None]).astype(np.float32)
     basis[0] = 0
     latent = np.stack([basis[r].sum(0) for r in rows])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Index(vocabulary, items, weight, basis, latent, of, s)
+    norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
+    padded = np.full((len(rows), WINDOW), -1)
+    for i, r in enumerate(rows):
+        padded[i, : len(r)] = r
+    return Index(vocabulary, items, weight, basis, padded, latent / norm[:, None], norm, of, s)
 
 
 def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
@@ -235,14 +245,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     indexes = [spark.sparkContext.broadcast(x) for b in blocks(benchmark, size) if (x := build(rows, b))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = [Words(b.value.vocabulary) for b in indexes]
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
                 texts = part.column(1).to_pylist()
                 found: list[list[tuple[int, float]]] = [[] for _ in texts]
-                for b, w in zip(indexes, words):
-                    for mine, more in zip(found, b.value.search([w.ids(t) for t in texts])):
+                for b in indexes:
+                    for mine, more in zip(found, b.value.search([ids_of(b.value.vocabulary, t) for t in texts])):
                         mine += more
                 best = [max(f, key=lambda x: (x[1], -x[0])) if f else (None, None) for f in found]
                 yield pa.RecordBatch.from_arrays(
