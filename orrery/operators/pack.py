@@ -1,0 +1,166 @@
+"""Packing an ordered list into slides, and the geometry of templates."""
+
+from __future__ import annotations
+
+import itertools
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from orrery.functions.exprs import micros
+
+MOST = 6
+# Cells (x, y, w, h) of the templates, on a canvas of 1.0 x 1.25.
+TEMPLATES = {
+    "whole": [(0.0, 0.0, 1.0, 1.25)],
+    "halves": [(0.0, 0.0, 1.0, 0.625), (0.0, 0.625, 1.0, 0.625)],
+    "pair": [(0.0, 0.0, 0.5, 1.25), (0.5, 0.0, 0.5, 1.25)],
+    "lead": [(0.0, 0.0, 1.0, 0.75), (0.0, 0.75, 0.5, 0.5), (0.5, 0.75, 0.5, 0.5)],
+    "stack": [(0.0, 0.0, 1.0, 0.4), (0.0, 0.4, 1.0, 0.45), (0.0, 0.85, 1.0, 0.4)],
+    "grid": [(0.0, 0.0, 0.5, 0.625), (0.5, 0.0, 0.5, 0.625), (0.0, 0.625, 0.5, 0.625), (0.5, 0.625, 0.5, 0.625)],
+}
+SPAN_US, SPAN_COST, CHAPTER_COST, LONE_LANDSCAPE, LARGEST_COST = 45 * 60_000_000, 0.30, 0.8, 0.35, 0.35
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    rows = [(n, i, *c) for n, cells in TEMPLATES.items() for i, c in enumerate(cells)]
+    return spark.createDataFrame(rows, "template string, cell int, x double, y double, w double, h double")
+
+
+def arrangements(spark: SparkSession, size: int) -> DataFrame:
+    """All orders of `size` items, at most 6! rows."""
+    rows = [(n, list(p)) for n, p in enumerate(itertools.permutations(range(size)))]
+    return spark.createDataFrame(rows, "arrangement int, perm array<int>")
+
+
+def assign_cells(slides: DataFrame, spark: SparkSession, template: str) -> DataFrame:
+    """slides (key, aspects array, hero index): the order of items over the cells with the least mean of
+    abs(log(aspect / cell aspect)), and more where the hero isn't in the largest cell; the first best wins."""
+    cells = TEMPLATES[template]
+    shape = F.array(*(F.lit(w / h) for _, _, w, h in cells))
+    largest = max(range(len(cells)), key=lambda i: (cells[i][2] * cells[i][3], -i))
+    met = slides.join(F.broadcast(arrangements(spark, len(cells))))
+    fit = F.aggregate(F.transform("perm", lambda p, i: F.abs(F.log(F.get(F.col("aspects"), p) / F.get(shape, i)))), F.lit(0.0), lambda a, x: a + x) / len(cells)
+    cost = F.round(fit + F.when(F.get(F.col("perm"), F.lit(largest)) == F.col("hero"), 0.0).otherwise(LARGEST_COST), 9)
+    return met.withColumn("cost", cost).groupBy("key").agg(F.min(F.struct("cost", "arrangement", "perm")).alias("b")).select("key", F.col("b.cost").alias("cost"), F.col("b.perm").alias("perm"))
+
+
+def adaptive_split(first: Column, second: Column) -> Column:
+    """Share of the height for the first of two stacked items: as 1 / aspect, within [0.40, 0.60]."""
+    return F.greatest(F.lit(0.40), F.least(F.lit(0.60), (1 / first) / (1 / first + 1 / second)))
+
+
+def pack_sequence(df: DataFrame, album: str = "album", block: str = "block") -> DataFrame:
+    landscape = F.col("width") > 1.2 * F.col("height")
+    w = Window.partitionBy(album).orderBy(block, landscape.cast("int"), "taken", "item_id")
+    return df.withColumns({"landscape": landscape, "seq": F.row_number().over(w)})
+
+
+def segment_cost(seq: DataFrame, album: str = "album", block: str = "block", most: int = MOST) -> DataFrame:
+    """Cost of each piece of up to `most` neighbours in the sequence as one slide, by a join of places: size, span of
+    time, chapters, lone landscape."""
+    us = micros("taken")
+    rows = seq.select(album, "seq", us.alias("us"), F.col(block).alias("b"), F.col("landscape").cast("int").alias("wide"))
+    w = Window.partitionBy(album).orderBy("seq")
+    out = None
+    for n in range(1, most + 1):
+        frame = w.rowsBetween(-(n - 1), 0)
+        span = F.max("us").over(frame) - F.min("us").over(frame)
+        chapters = F.max("b").over(frame) - F.min("b").over(frame)
+        cost = F.lit(0.08 * n) + SPAN_COST * F.greatest(F.lit(0.0), span / SPAN_US - 1) + F.when(chapters > 0, CHAPTER_COST).otherwise(0.0)
+        if n == 1:
+            cost = cost + F.when(F.col("wide") == 1, LONE_LANDSCAPE).otherwise(0.0)
+        part = rows.withColumn("cost", cost).filter(F.col("seq") >= n).select(album, (F.col("seq") - n + 1).alias("first"), F.col("seq").alias("last"), F.round("cost", 6).alias("cost"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def cheapest(n: int, slides: int, cost: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+    """Cuts 1..n into at most `slides` pieces of least total cost; of equal totals the shorter last piece."""
+    inf = float("inf")
+    best = [[inf] * (slides + 1) for _ in range(n + 1)]
+    prev = [[0] * (slides + 1) for _ in range(n + 1)]
+    best[0] = [0.0] * (slides + 1)
+    for i in range(1, n + 1):
+        for s in range(1, slides + 1):
+            for k in range(1, min(MOST, i) + 1):
+                c = best[i - k][s - 1] + cost[i - k + 1, i]
+                if c < best[i][s] - 1e-12:
+                    best[i][s], prev[i][s] = c, k
+    if best[n][slides] == inf:
+        return []
+    out, i, s = [], n, slides
+    while i:
+        k = prev[i][s]
+        out.append((i - k + 1, i))
+        i, s = i - k, s - 1
+    return out[::-1]
+
+
+def pack_slides(costs: DataFrame, slides: int, album: str = "album") -> DataFrame:
+    """album, slide, first, last for the best packing of each album; an album of more than MOST * slides items has none."""
+    kind = costs.schema[album].dataType.simpleString()
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        cost = {(int(a), int(b)): float(c) for a, b, c in zip(rows["first"], rows["last"], rows["cost"])}
+        n = int(rows["last"].max())
+        pieces = cheapest(n, slides, cost) if n <= MOST * slides else []
+        return pd.DataFrame({"album": pd.Series([rows["album"].iloc[0]] * len(pieces), dtype=object), "slide": range(1, len(pieces) + 1), "first": [a for a, _ in pieces], "last": [b for _, b in pieces]})
+
+    small = costs.select(F.col(album).alias("album"), "first", "last", "cost")
+    return small.groupBy("album").applyInPandas(solve, f"album {kind}, slide long, first long, last long").withColumnRenamed("album", album)
+
+
+def fold_commands(slides: list[dict], commands: list[tuple[int, str]], names: dict[str, dict]) -> tuple[list[dict], list[str]]:
+    """Applies (slide, what) in order: `out` drops the slide, `solo` leaves its first item, a name replaces all; numbers
+    are those before any command. Returns the slides, numbered anew, and the errors."""
+    now = {s["slide"]: dict(s) for s in slides}
+    errors = []
+    for n, what in commands:
+        if n not in now:
+            errors.append(f"{n}: no such slide")
+        elif what.lower() == "out":
+            del now[n]
+        elif what.lower() == "solo":
+            now[n]["items"] = now[n]["items"][:1]
+        elif what.lower() in names:
+            now[n]["items"] = [names[what.lower()]["item_id"]]
+        else:
+            errors.append(f"{n}: no item {what}")
+    return [s | {"slide": i} for i, (_, s) in enumerate(sorted(now.items()), 1)], errors
+
+
+def apply_commands(slides: DataFrame, commands: DataFrame, by: str) -> DataFrame:
+    """slides (by, slide, items array<long>), commands (by, pos, slide, what): the slides after all commands."""
+    kind = slides.schema[by].dataType.simpleString()
+
+    def fold(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = [{"slide": int(s), "items": list(i)} for s, i in zip(left["slide"], left["items"])]
+        names = {str(x): {"item_id": int(x)} for r in rows for x in r["items"]}
+        done, _ = fold_commands(rows, [(int(s), w) for _, s, w in sorted(zip(right["at"], right["on"], right["what"]))], names)
+        return pd.DataFrame({"by": pd.Series([key[0]] * len(done), dtype=object), "slide": [r["slide"] for r in done], "items": [r["items"] for r in done]})
+
+    a = slides.select(F.col(by).alias("by"), "slide", "items").groupBy("by")
+    # Names of its own: both sides may come from one frame, whose columns would else be taken for each other.
+    b = commands.select(F.col(by).alias("by"), F.col("pos").alias("at"), F.col("slide").alias("on"), F.col("what").alias("what")).groupBy("by")
+    return a.cogroup(b).applyInPandas(fold, f"by {kind}, slide long, items array<long>").withColumnRenamed("by", by)
+
+
+def companions(candidates: DataFrame, need: int, by: str, least_bits: int = 12) -> DataFrame:
+    """candidates (by, hero_id, item_id, score, hash, hero_hash): greedy by score, each at least least_bits from the hero
+    and those taken; a hero that doesn't get `need` has none."""
+    kind = candidates.schema[by].dataType.simpleString()
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["score", "item_id"], ascending=[False, True])
+        taken, codes = [], [int(rows["hero_hash"].iloc[0])]
+        for i, h in zip(rows["item_id"], rows["hash"]):
+            if len(taken) < need and all(((int(h) ^ c) & (2**64 - 1)).bit_count() >= least_bits for c in codes):
+                taken.append(int(i))
+                codes.append(int(h))
+        taken = taken if len(taken) == need else []
+        out = rows.set_index("item_id").loc[taken].reset_index()
+        return out.assign(place=range(1, len(taken) + 1))[["by", "hero_id", "item_id", "place"]]
+
+    small = candidates.select(F.col(by).alias("by"), "hero_id", "item_id", "score", "hash", "hero_hash")
+    return small.groupBy("by", "hero_id").applyInPandas(take, f"by {kind}, hero_id long, item_id long, place long").withColumnRenamed("by", by)
