@@ -151,14 +151,15 @@ class GrayIndex:
 
 
 def stars(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """Frames of (task, code) with the rows of a task together -> edges (a, b) that join each component of a task."""
+    """Frames of (task, print, code) with the rows of a task together -> edges (print, a, b) that join each component of
+    a task. A task holds codes of one print."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         codes = rows["code"].to_numpy().view(np.uint64)
         index = GrayIndex(rows["task"].to_numpy(), codes)
         up = index.components(most)
         own = np.flatnonzero(up != np.arange(len(up)))
-        return pd.DataFrame({"a": index.codes[own].view(np.int64), "b": index.codes[up[own]].view(np.int64)})
+        return pd.DataFrame({"print": rows["print"].to_numpy()[index.order[own]], "a": index.codes[own].view(np.int64), "b": index.codes[up[own]].view(np.int64)})
 
     held: list[pd.DataFrame] = []
     for frame in frames:
@@ -181,22 +182,22 @@ def block(code: Column, k: int) -> Column:
 
 
 def link_fingerprints(codes: DataFrame, most: int = 3, part: int = PART) -> DataFrame:
-    """Edges (a, b) whose components are those of the relation "differs in at most `most` bits" (most < BLOCKS) on the
-    distinct fingerprints of column code. A bucket has one part for each `part` fingerprints; with more parts than one,
-    each fingerprint goes to all tasks for pairs of parts that its own part is in."""
+    """Edges (print, a, b) whose components are those of the relation "differs in at most `most` bits" (most < BLOCKS)
+    on the distinct fingerprints (print, code), within each print. A bucket has one part for each `part` fingerprints;
+    with more parts than one, each fingerprint goes to all tasks for pairs of parts that its own part is in."""
     if most >= BLOCKS:
         raise ValueError(f"most must be under {BLOCKS}")
-    entries = codes.select("code", F.posexplode(F.array(*(block(F.col("code"), k) for k in range(BLOCKS)))).alias("k", "v"))
-    entries = entries.select("code", (F.col("k") * (1 << BLOCK_BITS) + F.col("v")).alias("bucket"))
-    # At most BLOCKS * 2 ** BLOCK_BITS rows, so safe to broadcast at any size of input.
+    entries = codes.select("print", "code", F.posexplode(F.array(*(block(F.col("code"), k) for k in range(BLOCKS)))).alias("k", "v"))
+    entries = entries.select("print", "code", ((F.col("print") * BLOCKS + F.col("k")) * (1 << BLOCK_BITS) + F.col("v")).alias("bucket"))
+    # At most BLOCKS * 2 ** BLOCK_BITS rows for each print, so safe to broadcast at any size of input.
     large = entries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")).filter("parts > 1")
     dealt = entries.join(F.broadcast(large), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("p", F.pmod(F.xxhash64("code"), F.col("parts")))
-    dealt = dealt.select("code", "bucket", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"))
+    dealt = dealt.select("print", "code", "bucket", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"))
     pair = F.xxhash64("bucket", F.least("p", "q"), F.greatest("p", "q"))
-    tasks = dealt.select(F.when((F.col("p") == 0) & (F.col("q") == 0), F.col("bucket").cast("long")).otherwise(pair).alias("task"), "code")
+    tasks = dealt.select(F.when((F.col("p") == 0) & (F.col("q") == 0), F.col("bucket").cast("long")).otherwise(pair).alias("task"), "print", "code")
     tasks = tasks.repartition("task").sortWithinPartitions("task")
-    return tasks.mapInPandas(lambda it: stars(it, most), "a long, b long").distinct()
+    return tasks.mapInPandas(lambda it: stars(it, most), "print int, a long, b long").distinct()
 
 
 def components(edges: DataFrame, stage: Stage, rounds: int = 60) -> DataFrame:
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
     stage = Stage(docs.sparkSession, "simhash")
     rows = stage.put(plain(docs, id_col, text_col).select("doc_id", fingerprint_udf(words)("text").alias("code")), "codes")
     codes = rows.groupBy("code").agg(F.min("doc_id").alias("first"))
-    roots = components(link_fingerprints(codes.select("code"), most), stage)
+    roots = components(link_fingerprints(codes.select(F.lit(0).alias("print"), "code"), most).select("a", "b"), stage)
     known = codes.join(roots, codes["code"] == roots["node"], "left").select("code", "first", F.coalesce("root", "code").alias("root"))
     known = stage.put(known, "known")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -235,11 +236,68 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
     return rows.join(named, "code").select("doc_id", "code", "component_id")
 
 
-def survivors(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
-    found = near_duplicates(docs, words)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["stay_id"], "left_semi")
+def word_prints(text: str, prints: int) -> list[int]:
+    """SimHashes over the distinct words, each by hashes of its own. A changed word moves few bits of them, where it
+    moves `words` times as much of a fingerprint over shingles."""
+    w = set((text or "").encode().lower().split())
+    if not w:
+        return [0] * prints
+    h = np.array([xxhash.xxh64_intdigest(x, 42) for x in w], np.uint64)
+    out = []
+    for k in range(prints):
+        g = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
+        g ^= g >> np.uint64(33)
+        g *= np.uint64(0xC4CEB9FE1A85EC53)
+        g ^= g >> np.uint64(29)
+        ones = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def shingle_set(text: str, words: int) -> list[int]:
+    """Distinct 32-bit hashes of the word shingles; a shorter text is one shingle, one without words none."""
+    w = (text or "").encode().lower().split()
+    n = max(1, len(w) - words + 1) if w else 0
+    return list({xxhash.xxh32_intdigest(b" ".join(w[i : i + words])) - 2**31 for i in range(n)})
+
+
+def verified_links(docs: DataFrame, stage: Stage, similarity: float = 0.8, words: int = 5, most: int = 3, prints: int = 8) -> DataFrame:
+    """Edges (a, b), a < b, between ids of documents whose shingle sets have a Jaccard similarity of at least
+    `similarity`, of those pairs that the index proposes: in each print, documents of equal fingerprints with the one of
+    smallest id, and the linked fingerprints with each other by their smallest ids. Two empty sets are alike."""
+
+    @F.pandas_udf("array<long>")
+    def prints_of(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: word_prints(t, prints))
+
+    @F.pandas_udf("array<int>")
+    def set_of(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: shingle_set(t, words))
+
+    rows = plain(docs).filter("doc_id is not null")
+    codes = stage.put(rows.select("doc_id", prints_of("text").alias("codes")), "prints").select("doc_id", F.posexplode("codes").alias("print", "code"))
+    first = stage.put(codes.groupBy("print", "code").agg(F.min("doc_id").alias("first")), "first")
+    same = codes.join(first, ["print", "code"]).filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    links = link_fingerprints(first.select("print", "code"), most)
+    one, two = (first.select("print", F.col("code").alias(c), F.col("first").alias(f"doc_{c}")) for c in "ab")
+    near = links.join(one, ["print", "a"]).join(two, ["print", "b"]).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    pairs = same.unionByName(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stage.put(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stage.put(rows.join(ends, "doc_id", "left_semi").select("doc_id", set_of("text").alias("set")), "sets")
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    every = F.size("set_a") + F.size("set_b") - both
+    return pairs.join(left, "a").join(right, "b").filter((every == 0) | (both >= similarity * every)).select("a", "b")
+
+
+def survivors(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """Pipeline stage: of each group of documents joined by verified links the one with the smallest id stays; so do rows
+    without an id. Only a document that is like another one is ever dropped."""
+    stage = Stage(docs.sparkSession, "near")
+    roots = components(verified_links(docs, stage, similarity, words), stage)
+    gone = roots.filter("node <> root").select(F.col("node").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,9 +64,9 @@ def test_index_against_all_pairs():
 def test_links_with_hot_buckets(spark, part):
     rng = random.Random(7)
     codes = clustered(rng, 500)
-    rows = pd.DataFrame({"code": np.array(list(codes), np.uint64).view(np.int64)})
+    rows = pd.DataFrame({"print": 0, "code": np.array(list(codes), np.uint64).view(np.int64)})
     stage = simhash.Stage(spark, "t")
-    edges = simhash.link_fingerprints(spark.createDataFrame(rows), 3, part)
+    edges = simhash.link_fingerprints(spark.createDataFrame(rows, "print int, code long"), 3, part).select("a", "b")
     roots = {r.node: r.root for r in simhash.components(edges, stage).collect()}
     got = {c: roots.get(s, s) for c, s in zip(np.array(list(codes), np.uint64).tolist(), rows["code"].tolist())}
     assert same_partition(got, brute_components(codes))
@@ -91,3 +91,43 @@ def test_edges(spark):
     got = sorted((r.doc_id, r.code == 0, r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == [(1, True, 1), (1, True, 1), (3, True, 1), (7, False, 7)]
     assert simhash.survivors(docs).columns == docs.columns
+    assert sorted(r.doc_id for r in simhash.survivors(docs).collect()) == [1, 1, 7]
+    assert simhash.survivors(spark.createDataFrame([], schema)).count() == 0
+
+
+def jaccard(a, b, words=5):
+    a, b = (set(simhash.shingle_set(t, words)) for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_survivors_against_brute_force(spark):
+    rng = random.Random(8)
+    base = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if 1500 < len(r.text or "") < 9000][:120]
+    texts = list(base)
+    for t in base:
+        for _ in range(rng.randrange(3)):
+            w = t.split()
+            for k in rng.sample(range(len(w)), max(1, int(len(w) * rng.choice([0.002, 0.01, 0.05])))):
+                w[k] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id for r in simhash.survivors(docs).collect()}
+    near = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j]) >= 0.8]
+    up = brute_links(near, len(texts))
+    want = {i for i in range(len(texts)) if up[i] == i}
+    assert len(want) < len(texts) - 40
+    assert want <= left  # nothing is dropped that is like no other
+    assert len(left - want) <= 0.05 * (len(texts) - len(want))
+
+
+def brute_links(pairs, n):
+    up = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(up[a], up[b])
+            if up[a] != low or up[b] != low:
+                up[a] = up[b] = low
+                changed = True
+    return up
