@@ -67,13 +67,13 @@ def range_candidates(heroes: DataFrame, pool: DataFrame, by: str, within_us: int
     return met.filter((F.col("diff_us") <= within_us) & (F.col("hero_id") != F.col("item_id"))).select(by, "hero_id", "item_id", "diff_us")
 
 
-def time_repair_candidates(df: DataFrame, group: str, jump_us: int) -> DataFrame:
-    """Rows whose time lies more than jump_us from both neighbours in the order of ids, which agree within jump_us:
+def time_repair_candidates(df: DataFrame, group: str, jump_us: int, agree_us: int) -> DataFrame:
+    """Rows whose time lies more than jump_us from both neighbours in the order of ids, which agree within agree_us:
     with the midpoint that would repair them."""
     w = Window.partitionBy(group).orderBy("item_id")
     us = micros("taken")
     near = df.withColumns({"_us": us, "_prev": F.lag(us).over(w), "_next": F.lead(us).over(w)})
-    odd = (F.abs(F.col("_us") - F.col("_prev")) > jump_us) & (F.abs(F.col("_us") - F.col("_next")) > jump_us) & (F.abs(F.col("_next") - F.col("_prev")) <= 2 * jump_us)
+    odd = (F.abs(F.col("_us") - F.col("_prev")) > jump_us) & (F.abs(F.col("_us") - F.col("_next")) > jump_us) & (F.abs(F.col("_next") - F.col("_prev")) <= agree_us)
     return near.filter(odd).select(group, "item_id", F.col("_us").alias("us"), F.floor((F.col("_prev") + F.col("_next")) / 2).alias("repaired_us"))
 
 

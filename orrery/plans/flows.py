@@ -110,14 +110,9 @@ def companions(spark, d):
     return pack.companions(found, 3, "album")
 
 
-@query("WITH n AS (SELECT user_id, item_id, epoch_us(taken) AS us, lag(epoch_us(taken)) OVER w AS p, lead(epoch_us(taken)) OVER w AS q FROM items WINDOW w AS (PARTITION BY user_id ORDER BY item_id)) SELECT user_id, item_id, us, CAST(floor((p + q) / 2.0) AS BIGINT) AS repaired_us FROM n WHERE abs(us - p) > 14400000000 AND abs(us - q) > 14400000000 AND abs(q - p) <= 2 * 14400000000::BIGINT * 2")
+@query("WITH n AS (SELECT user_id, item_id, epoch_us(taken) AS us, lag(epoch_us(taken)) OVER w AS p, lead(epoch_us(taken)) OVER w AS q FROM items WINDOW w AS (PARTITION BY user_id ORDER BY item_id)) SELECT user_id, item_id, us, CAST(floor((p + q) / 2.0) AS BIGINT) AS repaired_us FROM n WHERE abs(us - p) > 14400000000 AND abs(us - q) > 14400000000 AND abs(q - p) <= 57600000000")
 def time_repair_candidates(spark, d):
-    w = Window.partitionBy("user_id").orderBy("item_id")
-    us = x.micros()
-    near = items(spark, d).withColumns({"us": us, "_p": F.lag(us).over(w), "_q": F.lead(us).over(w)})
-    far = 14_400_000_000
-    odd = near.filter((F.abs(F.col("us") - F.col("_p")) > far) & (F.abs(F.col("us") - F.col("_q")) > far) & (F.abs(F.col("_q") - F.col("_p")) <= 4 * far))
-    return odd.select("user_id", "item_id", "us", F.floor((F.col("_p") + F.col("_q")) / 2).alias("repaired_us"))
+    return temporal.time_repair_candidates(items(spark, d), "user_id", 14_400_000_000, 57_600_000_000)
 
 
 @query("SELECT user_id, round(count(*) FILTER (back) / count(*)::DOUBLE, 6) AS backward FROM (SELECT user_id, value < lag(value) OVER (PARTITION BY user_id ORDER BY item_id) AS back FROM items) GROUP BY user_id")

@@ -35,7 +35,7 @@ def test_same_as_library(library, monkeypatch):
         encoder = t.Encoder(open(PATH, encoding="utf-8").read(), 2)
         for i in range(0, len(texts), 100):
             for text, ids in zip(texts[i : i + 100], encoder.encode(texts[i : i + 100])):
-                assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [2], repr(text)
+                assert np.frombuffer(ids, encoder.kind).tolist() == library.encode(text, add_special_tokens=False).ids + [2], repr(text)
 
 
 def check(rows, texts, library):
@@ -63,5 +63,6 @@ def test_small_blocks_and_edges(spark, library):
     blocks, ranks = t.write(ids, stage, block=7)
     assert blocks.count() >= 3
     check(t.locate(*t.read(blocks, ranks)).collect(), sorted((r[0], r[1]) for r in rows), library)
+    assert all(zlib.crc32(r["ids"]) == r.ids_crc32 and len(r["ids"]) == 4 * r.n_tokens for r in t.read(blocks, ranks)[0].collect())
     empty = stage.put(t.encode(spark.createDataFrame([], schema), PATH, 2), "none")
     assert t.locate(*t.read(*t.write(empty, Stage(spark, "e")))).count() == 0
