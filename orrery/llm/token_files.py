@@ -13,6 +13,7 @@ ordered by their ids; an empty table gives no blocks.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from orrery.llm.common import Stage, plain, table
 BLOCK = 1 << 20
 BATCH = 500
 #: Pieces in a worker's cache before it starts afresh.
-CACHE = 800_000
+CACHE = 1_200_000
 JOINED = 400
 # Marks that the tokenizer's pattern parts from letters and that start no contraction.
 TAIL = ".,;:!?"
@@ -55,6 +56,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def width(most: int) -> str:
+    """Type of staged ids: two bytes where all fit."""
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 class Encoder:
     """The tokenizers library behind a bounded cache of words. Its pattern never joins characters across white space, so
     a text's ids are those of its words one after another. Words of letters are given to it many at a time, and parted
@@ -64,14 +70,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.end = np.uint32(end).tobytes()
         vocabulary = self.tokenizer.get_vocab()
+        self.kind = width(max(end, *vocabulary.values()))
+        self.end = np.array(end, self.kind).tobytes()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {"": b""}
 
     def _library(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
         letters: set[str] = set()
@@ -89,11 +96,11 @@ class Encoder:
         new = [w for w in letters if w not in self.cache]
         parts = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
+            ids = np.array(e.ids, self.kind)
             stop = np.flatnonzero(self.closes[ids]) + 1
             if len(stop) == len(part) and (not len(stop) or stop[-1] == len(ids)):
                 raw, at = ids.tobytes(), 0
-                for w, s in zip(part, (stop * 4).tolist()):
+                for w, s in zip(part, (stop * ids.itemsize).tolist()):
                     self.cache[w] = raw[at:s]
                     at = s
             else:
@@ -104,12 +111,12 @@ class Encoder:
             self.cache[w] = self.cache[base] + self.cache[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, the end id last."""
+        """Ids as little-endian unsigned integers of the vocabulary's width, the end id last."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words}.difference(self.cache)
+        new = set().union(*split).difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
             self.cache = {"": b""}
-            new = {w for words in split for w in words}
+            new = set().union(*split)
         self.learn(new)
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
@@ -126,7 +133,7 @@ def made(spec: str, end: int) -> Encoder:
 
 
 def encode(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit) for every row."""
+    """doc_id, ids (binary, little-endian unsigned), bytes_per_id for every row."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -135,20 +142,21 @@ def encode(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", te
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.encode(part.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+                size = pa.array([np.dtype(encoder.kind).itemsize] * part.num_rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.encode(part.column(1).to_pylist()), pa.binary()), size], ["doc_id", "ids", "bytes_per_id"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return plain(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids binary")
+    return plain(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids binary, bytes_per_id int")
 
 
-def frequency_order(ids: DataFrame) -> np.ndarray:
+def frequency_order(ids: DataFrame, kind: str) -> np.ndarray:
     """All ids that occur, by falling frequency. Their number is bounded by the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
-                part = np.frombuffer(b"".join(batch.column(0).slice(i, BATCH).to_pylist()), "<u4")
+                part = np.frombuffer(b"".join(batch.column(0).slice(i, BATCH).to_pylist()), kind)
                 more = np.bincount(part, minlength=len(total))
                 more[: len(total)] += total
                 total = more
@@ -165,22 +173,26 @@ BLOCK_SCHEMA = "part int, block long, n_ids long, doc_ids array<{}>, counts arra
 def write(ids: DataFrame, stage: Stage, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Writes doc_id, ids as blocks in ascending order and the ids by rank; returns both tables as read back."""
     spark = ids.sparkSession
-    order = frequency_order(ids)
+    first = ids.select("bytes_per_id").first()
+    stored = f"<u{first[0] if first else 4}"
+    order = frequency_order(ids, stored)
     rank = np.zeros(int(order.max()) + 1 if len(order) else 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)
     kind = ids.schema["doc_id"].dataType.simpleString()
 
+    size_of = np.dtype(stored).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, size = TaskContext.get().partitionId(), 0, 0
         held_ids: list[pa.Array] = []
         held: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
-            v = np.frombuffer(b"".join(held), "<u4")
+            v = np.frombuffer(b"".join(held), stored)
             control, data = pack(shared.value[v])
             who = pa.concat_arrays(held_ids)
-            counts = [len(x) // 4 for x in held]
+            counts = [len(x) // size_of for x in held]
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([len(v)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(who)], pa.int32()), who), pa.array([counts], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                 ["part", "block", "n_ids", "doc_ids", "counts", "control", "data"],
@@ -190,7 +202,7 @@ def write(ids: DataFrame, stage: Stage, block: int = BLOCK) -> tuple[DataFrame,
             begin = 0
             for i, b in enumerate(batch.column(1).to_pylist()):
                 held.append(b)
-                size += len(b) // 4
+                size += len(b) // size_of
                 if size >= block:
                     held_ids.append(batch.column(0).slice(begin, i + 1 - begin))
                     yield flush()
@@ -200,15 +212,15 @@ def write(ids: DataFrame, stage: Stage, block: int = BLOCK) -> tuple[DataFrame,
         if held:
             yield flush()
 
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = ids.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     blocks = stage.put(ordered.mapInArrow(run, BLOCK_SCHEMA.format(kind)), "blocks")
     ranks = stage.put(spark.createDataFrame([(order.astype("<u4").tobytes(),)], "ids binary"), "ranks")
     return blocks, ranks
 
 
-def read(blocks: DataFrame, ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every document's part, block, doc_id, offset in the block, n_tokens, ids (binary) and ids_crc32, decoded from the
-    blocks; and the tokens before each part and block, which locate() adds. Where a document starts comes from the
+def read(blocks: DataFrame, ranks: DataFrame, with_ids: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Every document's part, block, doc_id, offset in the block, n_tokens, ids (binary, little-endian unsigned 32-bit; null
+    without with_ids) and their crc32, decoded from the blocks; and the tokens before each part and block, which locate() adds. Where a document starts comes from the
     counts of parts, of blocks within a part and of documents within a block; only parts are summed in one task."""
     order = blocks.sparkSession.sparkContext.broadcast(ranks.first()["ids"])
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
@@ -226,10 +238,11 @@ def read(blocks: DataFrame, ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for i in range(0, len(counts), BATCH):
                     k = slice(i, i + BATCH)
                     m = len(counts[k])
-                    ids = [values[a:b].tobytes() for a, b in zip(stop[k] - counts[k], stop[k])]
+                    own = [values[a:b] for a, b in zip((stop[k] - counts[k]).tolist(), stop[k].tolist())]
+                    ids = pa.array([x.tobytes() for x in own], pa.binary()) if with_ids else pa.nulls(m, pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([part] * m, pa.int32()), pa.array([block] * m, pa.int64()), who.slice(i, m), pa.array(stop[k] - counts[k]), pa.array(counts[k]), pa.array(ids, pa.binary())],
-                        ["part", "block", "doc_id", "offset", "n_tokens", "ids"],
+                        [pa.array([part] * m, pa.int32()), pa.array([block] * m, pa.int64()), who.slice(i, m), pa.array(stop[k] - counts[k]), pa.array(counts[k]), ids, pa.array(map(zlib.crc32, own), pa.int64())],
+                        ["part", "block", "doc_id", "offset", "n_tokens", "ids", "ids_crc32"],
                     )
 
     sums = blocks.select("part", "block", "n_ids")
@@ -238,8 +251,8 @@ def read(blocks: DataFrame, ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_base"))
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("block_base")).join(parts, "part")
-    found = blocks.mapInArrow(run, f"part int, block long, doc_id {kind}, offset long, n_tokens long, ids binary")
-    return found.withColumn("ids_crc32", F.crc32("ids")), bases
+    found = blocks.mapInArrow(run, f"part int, block long, doc_id {kind}, offset long, n_tokens long, ids binary, ids_crc32 long")
+    return found, bases
 
 
 def locate(found: DataFrame, bases: DataFrame) -> DataFrame:
@@ -255,5 +268,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = stage.put(encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2), "ids")
     blocks, ranks = write(ids, stage)
     stage.drop("ids")
-    found, bases = read(blocks, ranks)
+    found, bases = read(blocks, ranks, with_ids=False)
     return locate(found.drop("ids"), bases).select("doc_id", "start", "n_tokens", "ids_crc32")
