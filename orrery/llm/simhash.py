@@ -150,16 +150,21 @@ class GrayIndex:
             stack += [(level - 1, x[p : p + STEP], y[p : p + STEP]) for p in range(0, len(x), STEP)]
 
 
-def stars(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+def stars(frames: Iterator[pd.DataFrame], most: int, chains: bool) -> Iterator[pd.DataFrame]:
     """Frames of (task, print, code) with the rows of a task together -> edges (print, a, b) that join each component of
-    a task. A task holds codes of one print."""
+    a task. A task holds codes of one print. chains: also the edges between neighbours of a component in Gray order."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         codes = rows["code"].to_numpy().view(np.uint64)
         index = GrayIndex(rows["task"].to_numpy(), codes)
         up = index.components(most)
         own = np.flatnonzero(up != np.arange(len(up)))
-        return pd.DataFrame({"print": rows["print"].to_numpy()[index.order[own]], "a": index.codes[own].view(np.int64), "b": index.codes[up[own]].view(np.int64)})
+        a, b = own, up[own]
+        if chains:
+            line = np.argsort(up, kind="stable")
+            same = np.flatnonzero(up[line[1:]] == up[line[:-1]])
+            a, b = np.r_[a, line[same + 1]], np.r_[b, line[same]]
+        return pd.DataFrame({"print": rows["print"].to_numpy()[index.order[a]], "a": index.codes[a].view(np.int64), "b": index.codes[b].view(np.int64)})
 
     held: list[pd.DataFrame] = []
     for frame in frames:
@@ -181,7 +186,7 @@ def block(code: Column, k: int) -> Column:
     return F.shiftrightunsigned(code, k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
 
-def link_fingerprints(codes: DataFrame, most: int = 3, part: int = PART) -> DataFrame:
+def link_fingerprints(codes: DataFrame, most: int = 3, part: int = PART, chains: bool = False) -> DataFrame:
     """Edges (print, a, b) whose components are those of the relation "differs in at most `most` bits" (most < BLOCKS)
     on the distinct fingerprints (print, code), within each print. A bucket has one part for each `part` fingerprints;
     with more parts than one, each fingerprint goes to all tasks for pairs of parts that its own part is in."""
@@ -197,7 +202,7 @@ def link_fingerprints(codes: DataFrame, most: int = 3, part: int = PART) -> Data
     pair = F.xxhash64("bucket", F.least("p", "q"), F.greatest("p", "q"))
     tasks = dealt.select(F.when((F.col("p") == 0) & (F.col("q") == 0), F.col("bucket").cast("long")).otherwise(pair).alias("task"), "print", "code")
     tasks = tasks.repartition("task").sortWithinPartitions("task")
-    return tasks.mapInPandas(lambda it: stars(it, most), "print int, a long, b long").distinct()
+    return tasks.mapInPandas(lambda it: stars(it, most, chains), "print int, a long, b long").distinct()
 
 
 def components(edges: DataFrame, stage: Stage, rounds: int = 60) -> DataFrame:
@@ -243,15 +248,15 @@ def word_prints(text: str, prints: int) -> list[int]:
     if not w:
         return [0] * prints
     h = np.array([xxhash.xxh64_intdigest(x, 42) for x in w], np.uint64)
-    out = []
-    for k in range(prints):
-        g = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
+    salt = np.array([0x9E3779B97F4A7C15 * (k + 1) % 2**64 for k in range(prints)], np.uint64)[:, None]
+    ones = np.zeros((prints, 64), np.int64)
+    for at in range(0, len(h), 2048):
+        g = (h[None, at : at + 2048] ^ salt) * np.uint64(0xFF51AFD7ED558CCD)
         g ^= g >> np.uint64(33)
         g *= np.uint64(0xC4CEB9FE1A85EC53)
         g ^= g >> np.uint64(29)
-        ones = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0]))
-    return out
+        ones += np.unpackbits(g.view(np.uint8).reshape(prints, -1, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
 
 def shingle_set(text: str, words: int) -> list[int]:
@@ -261,7 +266,7 @@ def shingle_set(text: str, words: int) -> list[int]:
     return list({xxhash.xxh32_intdigest(b" ".join(w[i : i + words])) - 2**31 for i in range(n)})
 
 
-def verified_links(docs: DataFrame, stage: Stage, similarity: float = 0.8, words: int = 5, most: int = 3, prints: int = 8) -> DataFrame:
+def verified_links(docs: DataFrame, stage: Stage, similarity: float = 0.8, words: int = 5, most: int = 3, prints: int = 16) -> DataFrame:
     """Edges (a, b), a < b, between ids of documents whose shingle sets have a Jaccard similarity of at least
     `similarity`, of those pairs that the index proposes: in each print, documents of equal fingerprints with the one of
     smallest id, and the linked fingerprints with each other by their smallest ids. Two empty sets are alike."""
@@ -278,7 +283,7 @@ def verified_links(docs: DataFrame, stage: Stage, similarity: float = 0.8, words
     codes = stage.put(rows.select("doc_id", prints_of("text").alias("codes")), "prints").select("doc_id", F.posexplode("codes").alias("print", "code"))
     first = stage.put(codes.groupBy("print", "code").agg(F.min("doc_id").alias("first")), "first")
     same = codes.join(first, ["print", "code"]).filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    links = link_fingerprints(first.select("print", "code"), most)
+    links = link_fingerprints(first.select("print", "code"), most, chains=True)
     one, two = (first.select("print", F.col("code").alias(c), F.col("first").alias(f"doc_{c}")) for c in "ab")
     near = links.join(one, ["print", "a"]).join(two, ["print", "b"]).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     pairs = same.unionByName(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
