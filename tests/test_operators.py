@@ -152,3 +152,28 @@ def test_order_of_rows_does_not_matter(spark):
     once = dedup.burst_groups(i, 120_000_000, 14).select("item_id", "grp", "rank_in_group")
     again = dedup.burst_groups(i.repartition(7).orderBy(F.rand(3)), 120_000_000, 14).select("item_id", "grp", "rank_in_group")
     assert once.exceptAll(again).count() == 0
+
+
+def test_keep_apart():
+    from orrery.plans.extras import keep_apart
+
+    boxes = pd.DataFrame([(0, 0, 10, 10, 0.9), (1, 1, 10, 10, 0.8), (20, 20, 5, 5, 0.1), (6, 0, 10, 10, 0.7)], columns=["x", "y", "w", "h", "score"])
+    assert keep_apart(boxes) == [0, 3, 2]
+    assert keep_apart(boxes.iloc[:0]) == []
+
+
+def test_merge_keeps_order_and_first(spark):
+    from orrery.operators import joins
+
+    base = spark.createDataFrame([(1, "B"), (2, "a")], "pos int, name string")
+    added = spark.createDataFrame([(1, "A"), (2, "c"), (3, "C"), (4, "d")], "pos int, name string")
+    got = joins.merge_ordered(base, added, F.lower("name")).orderBy("pos").collect()
+    assert [r.name for r in got] == ["B", "a", "c", "d"]
+
+
+def test_nearest_time_ties_and_ends(spark):
+    at = lambda rows, c: spark.createDataFrame(rows, f"g string, {c} long, t string").withColumn("taken", F.col("t").cast("timestamp_ntz"))
+    left = at([("x", 1, "2024-01-01 00:00:05"), ("x", 2, "2024-01-01 00:01:00"), ("x", 3, "2023-12-31 23:59:59"), ("y", 4, "2024-01-01 00:00:00"), ("x", 5, "2024-01-01 00:00:10")], "l")
+    right = at([("x", 10, "2024-01-01 00:00:00"), ("x", 11, "2024-01-01 00:00:10"), ("x", 12, "2024-01-01 00:00:10")], "r_id")
+    got = {r.l_id: r.r_id for r in temporal.asof_nearest(left.withColumnRenamed("l", "l_id"), right, "g", "l_id", "r_id").collect()}
+    assert got == {1: 10, 2: 11, 3: 10, 4: None, 5: 11}
