@@ -27,9 +27,9 @@ LOW = np.uint64(0xFFFFFFFF)
 #: Bytes from which a piece has a tree of its own.
 LONG = 4096
 #: Cells of the numpy trees at a time.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Pieces in a worker's cache before it starts afresh.
-CACHE = 600_000
+CACHE = 200_000
 #: Documents in a returned batch.
 BATCH = 256
 

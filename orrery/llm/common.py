@@ -44,6 +44,18 @@ def id_crc(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+#: Rows that go to a Python worker at a time. Whole texts are long; the default of 10,000 takes much memory on both sides.
+ARROW_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Holds batches of texts to ARROW_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), so that other columns can't clash with those an operator adds."""
+    bounded(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -36,7 +36,7 @@ COSINE, ENERGY, OVERLAP = 0.5, 0.4, 0.4
 SAME, PARAPHRASE, ANSWER = 0.8, 0.6, 4
 #: Share of a window's squared weight that must lie in words of the benchmark.
 KNOWN = 0.45
-MIN_WORDS, BLOCK, BATCH = 5, 2000, 2000
+MIN_WORDS, BLOCK, BATCH = 5, 2000, 500
 APART = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -267,7 +267,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: the documents that hold no item, with their own columns. An id is dropped if any of its rows is
     contaminated; rows without an id stay."""
     bad = matches(docs, benchmark).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    # The hash side holds ids; a sort-merge join would sort whole texts.
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == bad["bad_id"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

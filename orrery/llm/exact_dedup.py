@@ -87,7 +87,8 @@ def deduplicate(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_
 def survivors(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is to stay, with their own columns."""
     stay = deduplicate(docs).filter("kept").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
+    # The hash side holds ids; a sort-merge join would sort whole texts.
+    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

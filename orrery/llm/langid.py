@@ -22,12 +22,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from orrery.llm.common import id_crc, table
+from orrery.llm.common import bounded, id_crc, table
 
 ORDER = 4
 #: Bound of the fitting sample.
 PER_LANG = 1200
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Characters scored at a time, about: bounds a worker's arrays.
+AT_ONCE = 1 << 17
 BLANK, EDGE, OTHER = 32, 1, 0xFFFF
 #: Share of calibration texts whose cross-entropy the clean side of the threshold must hold.
 CALIBRATION = 0.999
@@ -169,7 +171,7 @@ class Model:
                 rows.append(i)
                 parts.append(t[a : a + SLICE])
                 held += len(parts[-1])
-                if held >= SLICE // 2:
+                if held >= AT_ONCE:
                     flush()
                     held = 0
         flush()
@@ -189,9 +191,10 @@ def count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = [t[a : a + SLICE] for t in rows["text"] for a in range(0, len(t), SLICE)]
             if not texts:
                 continue
-            c, _ = codes(texts)
-            got, n = np.unique(keys(c, ORDER)[c != EDGE], return_counts=True)
-            yield pd.DataFrame({"lang": lang, "gram": got.view(np.int64), "n": n})
+            for i in range(0, len(texts), 64):
+                c, _ = codes(texts[i : i + 64])
+                got, n = np.unique(keys(c, ORDER)[c != EDGE], return_counts=True)
+                yield pd.DataFrame({"lang": lang, "gram": got.view(np.int64), "n": n})
 
 
 def sample(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> DataFrame:
@@ -199,7 +202,8 @@ def sample(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> DataFram
     first thinned to about three times as many by their hash, so that the ranking gets few at any size of input."""
     ids = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     share = ids.groupBy("lang").agg((3 * per_lang / F.count(F.lit(1))).alias("share"))
-    ids = ids.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("thin")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).drop("share")
+    # One row for each language name; broadcast, so that the ids are thinned where they are read.
+    ids = ids.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("thin")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).drop("share")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picked = ids.withColumn("rank", rank).filter(F.col("rank") <= per_lang).select(F.col("doc_id").alias("picked")).distinct()
     rows = docs.join(F.broadcast(picked), docs["doc_id"] == picked["picked"], "left_semi")
@@ -227,6 +231,7 @@ def train(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score, entropy and accepted in place of columns of those names."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, entropy double, accepted boolean")

@@ -289,7 +289,7 @@ def verified_links(docs: DataFrame, stage: Stage, similarity: float = 0.8, words
     pairs = same.unionByName(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stage.put(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stage.put(rows.join(ends, "doc_id", "left_semi").select("doc_id", set_of("text").alias("set")), "sets")
+    sets = stage.put(rows.join(ends.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", set_of("text").alias("set")), "sets")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     every = F.size("set_a") + F.size("set_b") - both
@@ -302,7 +302,8 @@ def survivors(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataF
     stage = Stage(docs.sparkSession, "near")
     roots = components(verified_links(docs, stage, similarity, words), stage)
     gone = roots.filter("node <> root").select(F.col("node").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    # The hash side holds ids; a sort-merge join would sort whole texts.
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,7 @@ def test_slices_cover_whole_texts(monkeypatch):
     m = small_model()
     whole = m.judge(["the cat " * 50 + "der hund und die katze " * 200])
     monkeypatch.setattr(langid, "SLICE", 64)
+    monkeypatch.setattr(langid, "AT_ONCE", 100)
     cut = m.judge(["the cat " * 50 + "der hund und die katze " * 200])
     assert whole["lang_pred"][0] == cut["lang_pred"][0] == "de"
     assert whole["entropy"][0] == pytest.approx(cut["entropy"][0], rel=0.05)
