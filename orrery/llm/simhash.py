@@ -31,6 +31,10 @@ FAN = 8
 PART = 200_000
 #: Pairs of nodes expanded at a time.
 STEP = 1 << 14
+#: Documents whose shingles are counted, and shingles kept, for the order of prefixes.
+SAMPLE, FREQUENT = 20_000, 500_000
+#: Documents with one shingle in their prefixes that one task takes.
+HOT = 5_000
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -266,10 +270,128 @@ def shingle_set(text: str, words: int) -> list[int]:
     return list({xxhash.xxh32_intdigest(b" ".join(w[i : i + words])) - 2**31 for i in range(n)})
 
 
+def set_key(s: list[int]) -> int:
+    """Signed 64-bit digest of a sorted shingle set."""
+    return xxhash.xxh64_intdigest(np.asarray(s, np.int32).tobytes()) - 2**63
+
+
+def frequent(sets: DataFrame, stage: Stage) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several of a sample of documents hold, sorted, and how many hold them. Only the order of a
+    document's shingles is taken from it, so the sample bears on speed and never on which pairs are found."""
+    step = max(1, sets.count() // SAMPLE)
+    held = sets.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.explode("set").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rows = held.filter("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
+    return rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def prefix(s: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, rarest first, of which two sets that are alike share at least one. Sets with a
+    Jaccard similarity of t share t times the larger one's size at least, so all but t * n - 1 shingles of each are
+    enough, in any order that is the same for all sets."""
+    token, held = common
+    n = np.zeros(len(s), np.int64)
+    if len(token) and len(s):
+        at = np.minimum(np.searchsorted(token, s), len(token) - 1)
+        n = np.where(token[at] == s, held[at], 0)
+    return s[np.lexsort((s, n))][: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
+
+
+def prefix_pairs(frames: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Frames of (task, diagonal, part, doc_id, root, n, pos) with the rows of a task together -> the pairs (a, b) of a
+    task that their sizes and the places of the shared shingle allow, without those of one root. Off the diagonal only
+    pairs of different parts."""
+
+    def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        task, root = rows["task"].to_numpy(), rows["root"].to_numpy()
+        start = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
+        size = np.diff(np.r_[start, len(task)])
+        mixed = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), size)
+        if not mixed.any():
+            return
+        rows = rows[mixed]
+        rows = rows.iloc[np.lexsort((rows["n"].to_numpy(), rows["task"].to_numpy()))]
+        task, root, n, doc, part, diagonal, pos = (rows[c].to_numpy() for c in ("task", "root", "n", "doc_id", "part", "diagonal", "pos"))
+        i = np.arange(len(task))
+        k, held, out = 0, 0, []
+        while True:
+            k += 1
+            i = i[i + k < len(task)]
+            j = i + k
+            # Sizes rise within a task: what is too long for one offset is so for all greater ones.
+            near = (task[i] == task[j]) & (similarity * n[j] <= n[i] + 1e-9)
+            i, j = i[near], j[near]
+            if not len(i):
+                break
+            need = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
+            ok = (root[i] != root[j]) & (diagonal[i] | (part[i] != part[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+            out.append(np.stack([np.minimum(doc[i[ok]], doc[j[ok]]), np.maximum(doc[i[ok]], doc[j[ok]])], 1))
+            held += int(ok.sum())
+            if held > 1_000_000:
+                yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+                held, out = 0, []
+        if held:
+            yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        held.append(frame)
+        if sum(map(len, held)) < 50_000 or frame["task"].iloc[0] == frame["task"].iloc[-1] == held[0]["task"].iloc[0]:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        open_task = rows["task"] == rows["task"].iloc[-1]
+        held = [rows[open_task]]
+        if not open_task.all():
+            yield from solve(rows[~open_task])
+    if held:
+        yield from solve(pd.concat(held, ignore_index=True))
+
+
+def similar_pairs(sets: DataFrame, roots: DataFrame, stage: Stage, similarity: float, part: int = HOT) -> DataFrame:
+    """Pairs (a, b) that hold all pairs of documents with a Jaccard similarity of at least `similarity` whose roots
+    differ, by prefixes of the shingle sets (doc_id, set). A shingle in the prefixes of more than `part` documents is
+    dealt to tasks by pairs of parts."""
+    common = sets.sparkSession.sparkContext.broadcast(frequent(sets, stage))
+
+    def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            first = [prefix(np.asarray(s, np.int64), similarity, common.value) for s in f["set"]]
+            count = np.array([len(x) for x in first], np.int64)
+            if count.sum():
+                r = np.repeat(np.arange(len(f)), count)
+                yield pd.DataFrame({"token": np.concatenate(first), "doc_id": f["doc_id"].to_numpy()[r], "root": f["root"].to_numpy()[r], "n": f["set"].map(len).to_numpy()[r], "pos": np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)})
+
+    named = sets.filter(F.size("set") > 0).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "set", F.coalesce("root", "doc_id").alias("root"))
+    rows = stage.put(named.mapInPandas(tokens, "token int, doc_id long, root long, n int, pos int"), "tokens")
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # At most one row for each `part` rows, so safe to broadcast.
+    large = counts.filter(F.col("c") > part).select("token", F.ceil(F.col("c") / part).alias("parts"))
+    dealt = rows.join(F.broadcast(large), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    task = F.when(F.col("parts") == 1, F.col("token").cast("long")).otherwise(F.xxhash64("token", F.least("part", "q"), F.greatest("part", "q")))
+    dealt = dealt.select(task.alias("task"), (F.col("part") == F.col("q")).alias("own"), "part", "q", "doc_id", "root", "n", "pos")
+    # Rows of part p stand in task (p, p) once and in each task (p, q); a task off the diagonal has no row of p = q.
+    dealt = dealt.select("task", F.col("own").alias("diagonal"), "part", "doc_id", "root", "n", "pos")
+    dealt = dealt.repartition("task").sortWithinPartitions("task")
+    return dealt.mapInPandas(lambda it: prefix_pairs(it, similarity), "a long, b long").filter("a <> b").distinct()
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of at least `similarity`. Two empty sets are alike."""
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    every = F.size("set_a") + F.size("set_b") - both
+    return pairs.join(left, "a").join(right, "b").filter((every == 0) | (both >= similarity * every)).select("a", "b")
+
+
 def verified_links(docs: DataFrame, stage: Stage, similarity: float = 0.8, words: int = 5, most: int = 3, prints: int = 16) -> DataFrame:
     """Edges (a, b), a < b, between ids of documents whose shingle sets have a Jaccard similarity of at least
-    `similarity`, of those pairs that the index proposes: in each print, documents of equal fingerprints with the one of
-    smallest id, and the linked fingerprints with each other by their smallest ids. Two empty sets are alike."""
+    `similarity`; their components are those of all such pairs. Equal sets and the pairs that the SimHash index proposes
+    are verified first: in each print, documents of equal fingerprints with the one of smallest id, and the linked
+    fingerprints with each other by their smallest ids. That joins most of a large group by few edges. All pairs that
+    are still in different components and whose prefixes meet are then verified. Two empty sets are alike."""
 
     @F.pandas_udf("array<long>")
     def prints_of(text: pd.Series) -> pd.Series:
@@ -277,23 +399,29 @@ def verified_links(docs: DataFrame, stage: Stage, similarity: float = 0.8, words
 
     @F.pandas_udf("array<int>")
     def set_of(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: shingle_set(t, words))
+        return text.map(lambda t: sorted(shingle_set(t, words)))
+
+    @F.pandas_udf("long")
+    def key_of(s: pd.Series) -> pd.Series:
+        return s.map(set_key)
 
     rows = plain(docs).filter("doc_id is not null")
     codes = stage.put(rows.select("doc_id", prints_of("text").alias("codes")), "prints").select("doc_id", F.posexplode("codes").alias("print", "code"))
+    sets = stage.put(rows.select("doc_id", set_of("text").alias("set")).withColumn("key", key_of("set")), "sets")
     first = stage.put(codes.groupBy("print", "code").agg(F.min("doc_id").alias("first")), "first")
     same = codes.join(first, ["print", "code"]).filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     links = link_fingerprints(first.select("print", "code"), most, chains=True)
     one, two = (first.select("print", F.col("code").alias(c), F.col("first").alias(f"doc_{c}")) for c in "ab")
     near = links.join(one, ["print", "a"]).join(two, ["print", "b"]).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    pairs = same.unionByName(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stage.put(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stage.put(rows.join(ends.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", set_of("text").alias("set")), "sets")
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    every = F.size("set_a") + F.size("set_b") - both
-    return pairs.join(left, "a").join(right, "b").filter((every == 0) | (both >= similarity * every)).select("a", "b")
+    keys = sets.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "first")
+    keys = stage.put(keys, "keys")
+    equal = sets.select("doc_id", "key").join(keys, "key").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    pairs = same.unionByName(near).unionByName(equal).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = stage.put(alike(stage.put(pairs, "pairs"), sets, similarity), "known")
+    roots = components(known, stage)
+    single = sets.join(keys, "key", "left").filter("first is null or first = doc_id").select("doc_id", "set")
+    rest = stage.put(similar_pairs(single, roots, stage, similarity), "rest")
+    return known.unionByName(alike(rest, sets, similarity))
 
 
 def survivors(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:

@@ -131,3 +131,28 @@ def brute_links(pairs, n):
                 up[a] = up[b] = low
                 changed = True
     return up
+
+
+def near_truth(texts, similarity=0.8):
+    sets = [set(simhash.shingle_set(t, 5)) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    up = brute_links(pairs, len(texts))
+    return {i for i in range(len(texts)) if up[i] == i}, pairs
+
+
+def sentence(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_survivors_with_block_edits(spark):
+    """Copies with a block appended, put before or cut off, at 0.80 to 0.95: all pairs, no allowance."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        w = sentence(rng, rng.randrange(80, 300))
+        block = sentence(rng, int(len(w) * rng.choice([0.06, 0.12, 0.18, 0.22])))
+        texts += [" ".join(w), " ".join(rng.choice([w + block, block + w, w[: len(w) - len(block) * 4 // 5]]))]
+    want, pairs = near_truth(texts)
+    assert len([1 for i, j in pairs if jaccard(texts[i], texts[j]) < 0.9]) > 30
+    got = {r.doc_id for r in simhash.survivors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
