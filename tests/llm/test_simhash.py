@@ -156,3 +156,37 @@ def test_survivors_with_block_edits(spark):
     assert len([1 for i, j in pairs if jaccard(texts[i], texts[j]) < 0.9]) > 30
     got = {r.doc_id for r in simhash.survivors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("groups", [10, 40])
+def test_survivors_of_template_groups(spark, groups):
+    """Documents that share a template, alike but under 0.8, and copies of some: links must not be lost in the crowd."""
+    rng = random.Random(groups)
+    template = sentence(rng, 100)
+    texts = []
+    for _ in range(groups):
+        w = template + sentence(rng, rng.randrange(22, 31))
+        texts.append(" ".join(w))
+        for _ in range(2):
+            c = list(w)
+            k = rng.randrange(100, len(w) - 8)
+            c[k : k + 8] = sentence(rng, 8)
+            texts.append(" ".join(c))
+    want, _ = near_truth(texts)
+    assert groups <= len(want) < len(texts)
+    got = {r.doc_id for r in simhash.survivors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_hot_shingle_is_dealt(spark):
+    """Pairs by prefixes are the same whether a shingle's documents meet in one task or in pairs of parts."""
+    rng = random.Random(3)
+    template = sentence(rng, 60)
+    texts = [" ".join(template + sentence(rng, 6)) for _ in range(30)]
+    sets = [(i, sorted(simhash.shingle_set(t, 5))) for i, t in enumerate(texts)]
+    _, pairs = near_truth(texts)
+    assert len(pairs) > 100
+    frame = spark.createDataFrame(sets, "doc_id long, set array<int>")
+    roots = spark.createDataFrame([], "node long, root long")
+    got = [{(r.a, r.b) for r in simhash.similar_pairs(frame, roots, simhash.Stage(spark, "t"), 0.8, part).collect()} for part in (5_000, 4)]
+    assert got[0] == got[1] >= {(j, i) for i, j in pairs}
