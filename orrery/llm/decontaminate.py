@@ -8,10 +8,15 @@ enough of the item's energy are candidates. Those that share words of enough wei
 document around the match: a share of SAME or more of the item, or PARAPHRASE or more where the item's last words, its
 answer, all stand there in order.
 
+The weights above drop paraphrases whose heaviest words changed and items shorter than a window. So the same rule is also
+applied wherever a count of words allows it: a common subsequence of PARAPHRASE of an item needs as many places of the
+item whose words stand in the document, and as many words of the item in the stretch that is looked at. Nothing that
+passes the rule at a place ITEM_STRIDE words apart fails these counts, whatever its words weigh.
+
 The benchmark is the query set. It is taken in blocks of at most BLOCK items, each broadcast by itself.
 
 Defined results: null and blank texts are clean; an empty benchmark leaves all documents clean; items of under MIN_WORDS
-words are ignored; among several items that a document holds, `items` lists all in order, and `item_id` is the one of
+words are found where all their words stand one after the other, items without words never; among several items that a document holds, `items` lists all in order, and `item_id` is the one of
 greatest similarity, ties to the smallest; repeated rows get equal results; null ids are kept.
 """
 
@@ -90,9 +95,64 @@ class Index:
     of: np.ndarray  # item of each window
     at: np.ndarray  # its place in the item
 
+    def __post_init__(self) -> None:
+        """For each word the items that hold it and at how many places: pairs from edge[word] to edge[word + 1]."""
+        self.size = np.array([len(w) for _, w in self.items])
+        self.need = np.where(self.size < MIN_WORDS, self.size, np.ceil(PARAPHRASE * self.size - 1e-9)).astype(np.int64)
+        self.sure = np.where(self.size < MIN_WORDS, self.size, np.ceil(SAME * self.size - 1e-9)).astype(np.int64)
+        word = np.concatenate([np.asarray(w, np.int64) for _, w in self.items])
+        key, self.times = np.unique(word * len(self.items) + np.repeat(np.arange(len(self.items)), self.size), return_counts=True)
+        self.holder = key % len(self.items)
+        self.edge = np.searchsorted(key // len(self.items), np.arange(len(self.vocabulary) + 2))
+
+    def counted(self, run: np.ndarray) -> dict[int, float]:
+        """The items that a run of word ids holds by the rule, tried at all places that the word counts allow."""
+        out: dict[int, float] = {}
+        u = np.unique(run)
+        u = u[u > 0]
+        n = self.edge[u + 1] - self.edge[u]
+        at = np.repeat(self.edge[u] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        there = np.bincount(self.holder[at], self.times[at], len(self.items))
+        for k in np.flatnonzero(there >= self.need).tolist():
+            item_id, item = self.items[k]
+            if len(item) < MIN_WORDS:
+                spare = len(run) - len(item) + 1
+                if spare > 0 and np.logical_and.reduce([run[i : i + spare] == c for i, c in enumerate(item)]).any():
+                    out[item_id] = 1.0
+                continue
+            end = item[-ANSWER:]
+            if there[k] < self.sure[k] and not np.isin(end, u).all():
+                continue
+            mine = np.zeros(len(self.weight), bool)
+            mine[item] = True
+            held = np.flatnonzero(mine[run])
+            slack = ITEM_STRIDE + max(8, len(item) // 4)
+            begin = np.arange(-len(item), len(run), ITEM_STRIDE)
+            # Words that the item lacks never count in a subsequence, so regions are stretches of the held words.
+            lo, hi = np.searchsorted(held, np.maximum(begin - slack, 0)), np.searchsorted(held, begin + len(item) + slack)
+            tried = np.unique(np.stack([lo, hi], 1)[hi - lo >= self.need[k]], axis=0)
+            words = run[held].tolist()
+            best, a = 0, 0
+            while a < len(tried) and best < len(item):
+                # A subsequence of a stretch that covers several regions is at least as long as that of each.
+                b = a + 1
+                while b < len(tried) and b < a + 8 and tried[b, 0] < tried[b - 1, 1]:
+                    b += 1
+                if common_length(self.places(k), len(item), words[tried[a, 0] : tried[b - 1, 1]]) >= max(self.need[k], best + 1):
+                    for x, y in tried[a:b].tolist():
+                        same = common_length(self.places(k), len(item), words[x:y])
+                        if same > best and (same / len(item) >= SAME or same / len(item) >= PARAPHRASE and common_length(places(end), len(end), words[x:y]) == len(end)):
+                            best = same
+                a = b
+            if best:
+                out[item_id] = max(best / len(item), out.get(item_id, 0.0))
+        return out
+
     def search(self, runs: list[np.ndarray], cosine: float = COSINE) -> list[list[tuple[int, float]]]:
         """For each run of word ids the items that it holds, with their similarity."""
-        out: list[dict[int, float]] = [{} for _ in runs]
+        out = [self.counted(r) for r in runs]
+        if not len(self.of):
+            return [sorted(x.items()) for x in out]
         lengths = np.array([len(r) for r in runs])
         flat = np.concatenate([*runs, np.zeros(WINDOW, np.int32)])
         base = np.cumsum(lengths) - lengths
@@ -205,8 +265,8 @@ def randomised_svd(spark: SparkSession, rows: list[np.ndarray], weight: np.ndarr
 
 
 def build(docs: DataFrame, block: list[tuple[int, str]]) -> Index | None:
-    """Index of a block of items; None if it has no item of MIN_WORDS words."""
-    texts = [(i, w) for i, t in block if len(w := words_of(t)) >= MIN_WORDS]
+    """Index of a block of items; None if it has no item with words. Items of under MIN_WORDS words have no windows."""
+    texts = [(i, w) for i, t in block if (w := words_of(t))]
     if not texts:
         return None
     vocabulary = {w: n for n, w in enumerate(sorted({w for _, t in texts for w in t}), 1)}
@@ -214,7 +274,9 @@ def build(docs: DataFrame, block: list[tuple[int, str]]) -> Index | None:
     df, n = document_frequency(docs, vocabulary)
     weight = np.log((1 + n) / (1 + df)) + 1
     weight[0] = np.median(weight[1:])
-    s, of = starts(np.array([len(t) for _, t in items]), ITEM_STRIDE)
+    s, of = starts(np.array([len(t) if len(t) >= MIN_WORDS else 0 for _, t in items]), ITEM_STRIDE)
+    if not len(s):
+        return Index(vocabulary, items, weight, np.zeros((len(weight), 1), np.float32), np.zeros((0, WINDOW), np.int64), np.zeros((0, 1)), np.zeros(0), of, s)
     rows = [np.array(items[k][1][a : a + WINDOW]) for a, k in zip(s.tolist(), of.tolist())]
     basis = randomised_svd(docs.sparkSession, rows, np.r_[0.0, weight[1:]])
     basis = (basis * weight[:, None]).astype(np.float32)
