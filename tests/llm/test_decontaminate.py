@@ -121,3 +121,24 @@ def test_paraphrases_of_heavy_words(spark, sf_dir):
     pairs = {(i, k) for i, t in docs for k in brute_items(t, items)}
     assert len(pairs) >= 100
     assert pairs <= found(spark, docs, items)
+
+
+def test_short_items_verbatim(spark, sf_dir):
+    """Items of 2 to 10 words in the middle of longer documents, all found; those of under MIN_WORDS word for word."""
+    rng = random.Random(12)
+    texts = [r.text.split() for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    hosts = [r.text.split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if 500 < len(r.text or "") < 4000]
+    items, docs = [], []
+    for n in range(120):
+        w = texts[n % len(texts)][: (2, 3, 4, 5, 6, 8, 10)[n % 7]]
+        items.append((n, " ".join(w)))
+        host = rng.choice(hosts)
+        k = rng.randrange(8, len(host) - 8)
+        docs.append((n, " ".join(host[:k] + w + host[k:])))
+    got = found(spark, docs, items)
+    assert {(n, n) for n in range(120)} <= got
+    for i, k in got:
+        w, t = (d.words_of(x) for x in (items[k][1], docs[i][1]))
+        if len(w) < d.MIN_WORDS:
+            assert any(t[a : a + len(w)] == w for a in range(len(t)))
+    assert found(spark, [(1, "one of two words"), (2, "two words here"), (3, "words two")], [(7, "two words"), (8, "..")]) == {(1, 7), (2, 7)}
