@@ -317,7 +317,7 @@ def segment_cost(spark, d):
 
 @query()
 def pack_slides(spark, d):
-    few = select.top_n(blocks(spark, d), ["album"], [F.desc("score"), "taken", "item_id"], 55).drop("rank")
+    few = select.top_n(blocks(spark, d), ["album"], [F.desc("score"), "taken", "item_id"], 20 * pack.MOST).drop("rank")
     return pack.pack_slides(pack.segment_cost(pack.pack_sequence(few)), 20)
 
 

@@ -50,3 +50,14 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pack_slides_places_up_to_capacity(spark):
+    """Each album's slides hold all its items, or as many as 20 slides can."""
+    d = "/root/testdata/sf0.01"
+    sizes = {r.album: r["count"] for r in catalog.QUERIES["capacity_trim"](spark, d).groupBy("album").count().collect()}
+    held = {}
+    for r in catalog.QUERIES["pack_slides"](spark, d).collect():
+        held[r.album] = held.get(r.album, 0) + r.last - r.first + 1
+    assert max(sizes.values()) > 55
+    assert held == sizes
