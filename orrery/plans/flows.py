@@ -77,6 +77,13 @@ def near_dup_bands(spark, d):
     return dedup.near_pairs(rows, "event_id", 1, bits=16)
 
 
+@query()
+def near_dup_bands_whole(spark, d):
+    """near_dup_bands over all events. Its pairs grow with the square of the events, so it has no SQL."""
+    rows = table(spark, d, "events").select("event_id", (F.get_json_object("props", "$.k").cast("long") * 40503 % 65536).alias("hash"))
+    return dedup.near_pairs(rows, "event_id", 1, bits=16)
+
+
 @query(f"WITH {PAIRS_SQL}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT x AS node, y AS other FROM e UNION SELECT r.node, e.y FROM reach r JOIN e ON e.x = r.other) SELECT node, least(node, min(other)) AS root FROM reach GROUP BY node")
 def near_dup_components(spark, d):
     return dedup.components(dedup.near_pairs(dedup.vector_hash(vectors(spark, d)), "vec_id", 17))

@@ -61,3 +61,14 @@ def test_pack_slides_places_up_to_capacity(spark):
         held[r.album] = held.get(r.album, 0) + r.last - r.first + 1
     assert max(sizes.values()) > 55
     assert held == sizes
+
+
+def test_near_dup_bands_of_all_events(spark, tmp_path):
+    """Events of any id are paired, as brute force pairs them."""
+    ks = [(i * 37 % 9) if i < 60 else 5 for i in range(70)]
+    rows = [(i * 997, f'{{"k": {k}}}') for i, k in enumerate(ks)]
+    spark.createDataFrame(rows, "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    codes = [(i * 997, k * 40503 % 65536) for i, k in enumerate(ks)]
+    want = {(a, b, (x ^ y).bit_count()) for a, x in codes for b, y in codes if a < b and (x ^ y).bit_count() <= 1}
+    got = [tuple(r) for r in catalog.QUERIES["near_dup_bands_whole"](spark, str(tmp_path)).select("a", "b", "bits").collect()]
+    assert len(got) == len(want) and set(got) == want and max(b for _, b, _ in want) > 3000
