@@ -78,6 +78,15 @@ def identity_match(spark, d):
     return met.groupBy("vec_id").agg(F.count_distinct("who").alias("identities"))
 
 
+@query()
+def identity_match_whole(spark, d):
+    """identity_match of every vector against all others."""
+    v = vectors(spark, d)
+    known = v.select(F.col("vec_id").alias("k_id"), F.col("label").alias("who"), F.col("embedding").alias("kv"))
+    met = v.join(known, (F.col("vec_id") != F.col("k_id")) & (x.dot(F.col("embedding"), F.col("kv")) >= 0.2))
+    return met.groupBy("vec_id").agg(F.count_distinct("who").alias("identities"))
+
+
 @query("""WITH g AS (SELECT vec_id, label, unnest(range(0, 64)) AS i, unnest(embedding) AS e FROM embeddings), c AS (SELECT label, i, avg(e) AS c FROM g GROUP BY ALL),
 r AS (SELECT vec_id, g.i, round(abs(e - c), 6) AS gap FROM g JOIN c ON g.label = c.label AND g.i = c.i) SELECT vec_id, i::INT AS feature, gap FROM r QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY gap DESC, i) <= 4""")
 def style_explain(spark, d):

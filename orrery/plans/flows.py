@@ -109,10 +109,17 @@ def companion_candidates(spark, d):
     return temporal.range_candidates(i.filter("item_id % 40 = 0"), i, "album", 2_700_000_000)
 
 
+@query()
+def companion_candidates_whole(spark, d):
+    """companion_candidates with every item as a hero."""
+    i = items(spark, d)
+    return temporal.range_candidates(i, i, "album", 2_700_000_000)
+
+
 @query()
 def companions(spark, d):
     i = items(spark, d)
-    found = temporal.range_candidates(i.filter("item_id % 40 = 0"), i.filter("score >= 0.5"), "album", 2_700_000_000)
+    found = temporal.range_candidates(i, i.filter("score >= 0.5"), "album", 2_700_000_000)
     found = found.join(i.select("item_id", "score", "hash"), "item_id").join(i.select(F.col("item_id").alias("hero_id"), F.col("hash").alias("hero_hash")), "hero_id")
     return pack.companions(found, 3, "album")
 
@@ -168,10 +175,10 @@ def spares_per_chapter(spark, d):
 KNN_SQL = "s AS (SELECT q.vec_id, q.label, r.vec_id AS r_id, list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings r ON r.vec_id % 5 = 0 {} QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) DESC, r.vec_id) <= 3) SELECT vec_id, round(avg(s), 5) AS similarity FROM s GROUP BY vec_id HAVING count(*) = 3"
 
 
-def knn(spark, d, own):
+def knn(spark, d, own, refs="vec_id % 5 = 0"):
     v = vectors(spark, d)
     q = v.select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_album"), F.col("embedding").alias("q_v"))
-    r = v.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("r_id"), F.col("label").alias("r_album"), F.col("embedding").alias("r_v"))
+    r = v.filter(refs).select(F.col("vec_id").alias("r_id"), F.col("label").alias("r_album"), F.col("embedding").alias("r_v"))
     return joins.knn_mean(q, r, 3, own).select(F.col("q_id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
 
 
@@ -185,13 +192,35 @@ def knn_leave_own_out(spark, d):
     return knn(spark, d, ("q_album", "r_album"))
 
 
+@query()
+def knn_top3_similarity_whole(spark, d):
+    """knn_top3_similarity against all vectors."""
+    return knn(spark, d, None, "true")
+
+
+@query()
+def knn_leave_own_out_whole(spark, d):
+    """knn_leave_own_out against all vectors of other labels."""
+    return knn(spark, d, ("q_album", "r_album"), "true")
+
+
 @query("""WITH s AS (SELECT q.vec_id, q.label AS album, r.label AS owner, sqrt(greatest(0, 2 - 2 * list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]))) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt(greatest(0, 2 - 2 * list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]))), r.vec_id) AS n
   FROM embeddings q JOIN embeddings r ON r.vec_id % 3 = 0 AND q.vec_id % 3 = 1),
 t AS (SELECT vec_id, album, min(dist) AS d1, max(dist) AS d2, min_by(owner, n) AS owner FROM s WHERE n <= 2 GROUP BY ALL) SELECT album AS q_album, owner, count(*) AS votes FROM t WHERE d1 < 0.98 * d2 GROUP BY ALL HAVING count(*) >= 2""")
 def ratio_test_votes(spark, d):
+    return votes(spark, d, "vec_id % 3 = 1", "vec_id % 3 = 0")
+
+
+@query()
+def ratio_test_votes_whole(spark, d):
+    """ratio_test_votes of every vector against all others."""
+    return votes(spark, d, "true", "true")
+
+
+def votes(spark, d, queries, refs):
     v = vectors(spark, d)
-    q = v.filter("vec_id % 3 = 1").select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_album"), F.col("embedding").alias("q_v"))
-    r = v.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("r_id"), F.col("label").alias("r_album"), F.col("embedding").alias("r_v"))
+    q = v.filter(queries).select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_album"), F.col("embedding").alias("q_v"))
+    r = v.filter(refs).select(F.col("vec_id").alias("r_id"), F.col("label").alias("r_album"), F.col("embedding").alias("r_v"))
     return joins.ratio_votes(q, r, 0.98, 2)
 
 

@@ -151,8 +151,18 @@ def style_distance(spark, d):
 @query("""WITH p AS (SELECT b.vec_id, b.label, r.vec_id AS r_id, sqrt(list_sum(list_transform(list_zip(b.embedding, r.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))) / 64) AS dist FROM embeddings b JOIN embeddings r ON r.vec_id % 10 = 0 AND r.vec_id <> b.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, r_id) AS n FROM p) SELECT vec_id, round(exp(-avg(dist) / 0.17), 4) AS style FROM k WHERE n <= 3 GROUP BY vec_id""")
 def style_knn_score(spark, d):
+    return style_knn(spark, d, "vec_id % 10 = 0")
+
+
+@query()
+def style_knn_score_whole(spark, d):
+    """style_knn_score against all other vectors."""
+    return style_knn(spark, d, "true")
+
+
+def style_knn(spark, d, refs):
     v = vectors(spark, d)
-    r = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("rv"))
+    r = v.filter(refs).select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("rv"))
     gap = F.zip_with("embedding", "rv", lambda a, b: a.cast("double") - b.cast("double"))
     met = v.join(r, F.col("vec_id") != F.col("r_id")).select("vec_id", "r_id", F.sqrt(x.dot(gap, gap) / 64).alias("dist"))
     top = select.top_n(met, ["vec_id"], ["dist", "r_id"], 3)
