@@ -97,3 +97,32 @@ def test_run_is_its_stages(spark, steps):
     got = corpus_pipeline.run(spark, DIR)
     assert got.columns == steps[-1].columns
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, steps[-1].collect()))
+
+
+def test_near_against_all_pairs(texts):
+    """As test_near, with shingles of any number of holders and nothing missed."""
+    before, after = texts[2:4]
+    ids = sorted(before)
+    sets = [frozenset(shingle_set(before[i], 5)) for i in ids]
+    word = {h: n for n, h in enumerate(sorted(set().union(*sets)))}
+    holders = defaultdict(list)
+    for n, s in enumerate(sets):
+        for h in s:
+            holders[word[h]].append(n)
+    size = np.array([len(s) for s in sets])
+    up = list(range(len(ids)))
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for n, s in enumerate(sets):
+        both = np.zeros(len(ids), int)
+        for h in s:
+            both[holders[word[h]]] += 1
+        every = size + size[n] - both
+        for m in np.flatnonzero((every == 0) | (both >= 0.8 * every)).tolist():
+            a, b = root(n), root(m)
+            up[max(a, b)] = min(a, b)
+    assert {i for n, i in enumerate(ids) if root(n) == n} == set(after)
