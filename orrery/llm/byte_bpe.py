@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm.common import plain, table
+from orrery.llm.common import kept, plain, table, trimmed
 
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOW = np.uint64(0xFFFFFFFF)
@@ -188,15 +188,12 @@ class Bpe:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_made: dict[tuple[int, str], Bpe] = {}
-
-
 def made(data: bytes, pattern: str) -> Bpe:
     """One encoder for each worker process and vocabulary."""
-    key = (hash(data), pattern)
-    if key not in _made:
-        _made[key] = Bpe(read_ranks(data), pattern)
-    return _made[key]
+    mine, key = kept("bpe"), (hash(data), pattern)
+    if key not in mine:
+        mine[key] = Bpe(read_ranks(data), pattern)
+    return mine[key]
 
 
 def convert(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,13 +207,13 @@ def convert(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
-                ids = bpe.encode(part.column(1).to_pylist())
+                ids = bpe.encode(part.column(1).to_numpy(zero_copy_only=False).tolist())
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 back = pa.array([bpe.decode(x) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(ids, pa.binary()), back], ["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return plain(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    return plain(docs, id_col, text_col).mapInArrow(trimmed(run, "bpe"), f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
 
 
 def encoded(docs: DataFrame) -> DataFrame:

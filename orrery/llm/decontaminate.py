@@ -4,34 +4,36 @@ The index holds windows of WINDOW words of every benchmark item as TF-IDF vector
 products with the window matrix are made by Spark tasks. Document frequencies are counted over all documents. Every
 document is read as windows of the same length, STRIDE words apart. A window whose weight lies mostly in words that no
 item has can't be like an item and is left out; the others are projected, and pairs with a cosine of COSINE or more and
-enough of the item's energy are candidates. Those that share words of enough weight are confirmed by the longest common subsequence of the item's words and the words of the
-document around the match: a share of SAME or more of the item, or PARAPHRASE or more where the item's last words, its
-answer, all stand there in order.
+enough of the item's energy are candidates. Those that share words of enough weight are confirmed by the longest common
+subsequence of the item's words and the words of the document around the match: a share of SAME or more of the item, or
+PARAPHRASE or more where the item's last words, its answer, all stand there in order.
 
 The weights above drop paraphrases whose heaviest words changed and items shorter than a window. So the same rule is also
 applied wherever a count of words allows it: a common subsequence of PARAPHRASE of an item needs as many places of the
 item whose words stand in the document, and as many words of the item in the stretch that is looked at. Nothing that
 passes the rule at a place ITEM_STRIDE words apart fails these counts, whatever its words weigh.
 
-The benchmark is the query set. It is taken in blocks of at most BLOCK items, each broadcast by itself.
+The benchmark is the query set. It is taken in blocks of at most BLOCK items, each broadcast by itself and gone before the
+next one is built; the words of many blocks are counted in one pass over the documents.
 
 Defined results: null and blank texts are clean; an empty benchmark leaves all documents clean; items of under MIN_WORDS
-words are found where all their words stand one after the other, items without words never; among several items that a document holds, `items` lists all in order, and `item_id` is the one of
-greatest similarity, ties to the smallest; repeated rows get equal results; null ids are kept.
+words are found where all their words stand one after the other, items without words or id never; among several items
+that a document holds, `items` lists all in order, and `item_id` is the one of greatest similarity, ties to the smallest;
+ids of items may be of any type that has an order; repeated rows get equal results; null ids are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm.common import plain, table
+from orrery.llm.common import Stage, plain, rows_of, table, trimmed, without
 
 WINDOW, STRIDE, ITEM_STRIDE = 16, 4, 4
 RANK, OVERSAMPLE, POWER = 128, 16, 2
@@ -42,6 +44,8 @@ SAME, PARAPHRASE, ANSWER = 0.8, 0.6, 4
 #: Share of a window's squared weight that must lie in words of the benchmark.
 KNOWN = 0.45
 MIN_WORDS, BLOCK, BATCH = 5, 2000, 500
+#: Distinct words of the blocks that are counted in one pass, and the most such blocks.
+VOCABULARY, TOGETHER = 500_000, 50
 APART = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -86,7 +90,7 @@ def starts(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Index:
     vocabulary: dict[bytes, int]
-    items: list[tuple[int, list[int]]]
+    items: list[tuple[object, list[int]]]
     weight: np.ndarray  # idf by word id; at 0 that of words that no item has
     basis: np.ndarray  # row of the projection by word id
     words: np.ndarray  # word ids of item windows, padded with -1
@@ -216,17 +220,17 @@ def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[n
         df = np.zeros(len(shared.value) + 1, np.int64)
         n = 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in batch.column(0).to_numpy(zero_copy_only=False):
                 n += 1
                 df[np.unique(ids_of(shared.value, t))] += 1
         df[0] = n
         own = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(df[own])], ["word", "df"])
 
-    got = docs.select("text").mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
+    got = docs.select("text").mapInArrow(trimmed(count), "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
+    shared.unpersist()
     df = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in got:
-        df[r["word"]] = r["df"]
+    df[got.column("word").to_numpy()] = got.column("df").to_numpy()
     return df, int(df[0])
 
 
@@ -237,7 +241,7 @@ def randomised_svd(spark: SparkSession, rows: list[np.ndarray], weight: np.ndarr
     k = min(rank + OVERSAMPLE, width, max(1, len(rows)))
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, k)))[0]
     parts = max(1, min(8, len(rows) // 4000))
-    spread = spark.createDataFrame(pd.DataFrame({"w": [r.tolist() for r in rows]}), "w array<long>").repartition(parts).persist()
+    spread = rows_of(spark, w=[r.tolist() for r in rows]).repartition(parts).persist()
 
     def product(basis: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((basis, weight))
@@ -253,7 +257,7 @@ def randomised_svd(spark: SparkSession, rows: list[np.ndarray], weight: np.ndarr
                     z[w] += v[:, None] * (v @ q[w])
             yield pd.DataFrame({"z": [z.tobytes()]})
 
-        out = sum(np.frombuffer(r["z"]).reshape(basis.shape) for r in spread.mapInPandas(share, "z binary").toLocalIterator())
+        out = sum(np.frombuffer(r["z"]).reshape(basis.shape) for r in spread.mapInPandas(share, "z binary").collect())
         shared.unpersist()
         return out
 
@@ -264,21 +268,22 @@ def randomised_svd(spark: SparkSession, rows: list[np.ndarray], weight: np.ndarr
     return q @ vector[:, np.argsort(-value)[:rank]]
 
 
-def build(docs: DataFrame, block: list[tuple[int, str]]) -> Index | None:
-    """Index of a block of items; None if it has no item with words. Items of under MIN_WORDS words have no windows."""
+def build(spark: SparkSession, block: list[tuple[object, str]], count: dict[bytes, int], n: int) -> Index | None:
+    """Index of a block of items; None if it has no item with words. count: in how many of n documents a word stands.
+    Items of under MIN_WORDS words have no windows."""
     texts = [(i, w) for i, t in block if (w := words_of(t))]
     if not texts:
         return None
-    vocabulary = {w: n for n, w in enumerate(sorted({w for _, t in texts for w in t}), 1)}
+    known = sorted({w for _, t in texts for w in t})
+    vocabulary = {w: k for k, w in enumerate(known, 1)}
     items = [(i, [vocabulary[w] for w in t]) for i, t in texts]
-    df, n = document_frequency(docs, vocabulary)
-    weight = np.log((1 + n) / (1 + df)) + 1
+    weight = np.log((1 + n) / (1 + np.array([n, *(count[w] for w in known)]))) + 1
     weight[0] = np.median(weight[1:])
     s, of = starts(np.array([len(t) if len(t) >= MIN_WORDS else 0 for _, t in items]), ITEM_STRIDE)
     if not len(s):
         return Index(vocabulary, items, weight, np.zeros((len(weight), 1), np.float32), np.zeros((0, WINDOW), np.int64), np.zeros((0, 1)), np.zeros(0), of, s)
     rows = [np.array(items[k][1][a : a + WINDOW]) for a, k in zip(s.tolist(), of.tolist())]
-    basis = randomised_svd(docs.sparkSession, rows, np.r_[0.0, weight[1:]])
+    basis = randomised_svd(spark, rows, np.r_[0.0, weight[1:]])
     basis = (basis * weight[:, None]).astype(np.float32)
     basis[0] = 0
     latent = np.stack([basis[r].sum(0) for r in rows])
@@ -289,8 +294,8 @@ def build(docs: DataFrame, block: list[tuple[int, str]]) -> Index | None:
     return Index(vocabulary, items, weight, basis, padded, latent / norm[:, None], norm, of, s)
 
 
-def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
-    held: list[tuple[int, str]] = []
+def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[object, str]]]:
+    held: list[tuple[object, str]] = []
     for r in benchmark.select("item_id", "text").filter("item_id is not null").orderBy("item_id", "text").toLocalIterator():
         held.append((r["item_id"], r["text"]))
         if len(held) == size:
@@ -300,37 +305,95 @@ def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int,
         yield held
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
-    """doc_id, contaminated, item_id, similarity, items for every row."""
-    spark = docs.sparkSession
-    rows = plain(docs, id_col, text_col)
-    indexes = [spark.sparkContext.broadcast(x) for b in blocks(benchmark, size) if (x := build(rows, b))]
+def together(found: Iterator[list[tuple[object, str]]], most: int = VOCABULARY) -> Iterator[tuple[list[list[tuple[object, str]]], set[bytes]]]:
+    """Blocks whose words are counted in one pass, one block at least, and the words."""
+    held: list[list[tuple[object, str]]] = []
+    words: set[bytes] = set()
+    for block in found:
+        more = {w for _, t in block for w in words_of(t)}
+        if held and (len(words | more) > most or len(held) == TOGETHER):
+            yield held, words
+            held, words = [], set()
+        held.append(block)
+        words |= more
+    if held:
+        yield held, words
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame, size: int) -> Iterator[Index]:
+    """The index of one block after another."""
+    for some, words in together(blocks(benchmark, size)):
+        if words:
+            df, n = document_frequency(docs, {w: k for k, w in enumerate(sorted(words), 1)})
+            count = dict(zip(sorted(words), df[1:].tolist()))
+            yield from (x for block in some if (x := build(docs.sparkSession, block, count, n)))
+
+
+FIELDS = ["doc_id", "contaminated", "item_id", "similarity", "items"]
+
+
+def searched(rows: DataFrame, index: object, kind: str, own: str, item: pa.DataType, hits_only: bool) -> DataFrame:
+    """The rows against a broadcast index, None for none. hits_only: rows with an item alone, with the digest of their
+    text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
-                texts = part.column(1).to_pylist()
-                found: list[list[tuple[int, float]]] = [[] for _ in texts]
-                for b in indexes:
-                    for mine, more in zip(found, b.value.search([ids_of(b.value.vocabulary, t) for t in texts])):
-                        mine += more
-                best = [max(f, key=lambda x: (x[1], -x[0])) if f else (None, None) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([bool(f) for f in found]), pa.array([b[0] for b in best], pa.int64()), pa.array([b[1] for b in best], pa.float64()), pa.array([sorted({x for x, _ in f}) for f in found], pa.list_(pa.int64()))],
-                    ["doc_id", "contaminated", "item_id", "similarity", "items"],
-                )
+                texts = part.column(1).to_numpy(zero_copy_only=False)
+                found = index.value.search([ids_of(index.value.vocabulary, t) for t in texts]) if index else [[] for _ in texts]
+                best = [min(((-s, x) for x, s in f), default=(None, None)) for f in found]
+                columns = [
+                    part.column(0), pa.array([bool(f) for f in found], pa.bool_()), pa.array([b[1] for b in best], item),
+                    pa.array([None if b[0] is None else -b[0] for b in best], pa.float64()), pa.array([[x for x, _ in f] for f in found], pa.list_(item)),
+                ]
+                names = FIELDS
+                if hits_only:
+                    columns, names = [*columns, part.column(2), pa.array([[s for _, s in f] for f in found], pa.list_(pa.float64()))], [*FIELDS, "digest", "scores"]
+                out = pa.RecordBatch.from_arrays(columns, names)
+                yield out.filter(columns[1]) if hits_only else out
+
+    more = ", digest binary, scores array<double>" if hits_only else ""
+    return rows.mapInArrow(trimmed(run), f"doc_id {own}, contaminated boolean, item_id {kind}, similarity double, items array<{kind}>{more}")
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, contaminated boolean, item_id long, similarity double, items array<long>")
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
+    """doc_id, contaminated, item_id, similarity, items for every row. With one block the rows are judged where they are
+    read. With more, each block is a pass of its own over the documents that leaves only what it found, so no task ever
+    holds two indexes; what is found meets the rows again by id and digest of the text."""
+    spark = docs.sparkSession
+    rows = plain(docs, id_col, text_col)
+    kind, own = benchmark.schema["item_id"].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
+    item = benchmark.select("item_id").limit(0).toArrow().schema.field(0).type
+    found = indexes(rows, benchmark, size)
+    first, second = next(found, None), next(found, None)
+    if second is None:
+        return searched(rows, spark.sparkContext.broadcast(first) if first else None, kind, own, item, False)
+    stage = Stage(spark, "matches")
+    keyed = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    parts = []
+    for n, index in enumerate(chain([first, second], found)):
+        shared = spark.sparkContext.broadcast(index)
+        parts.append(stage.put(searched(keyed, shared, kind, own, item, True).distinct(), f"block{n}"))
+        shared.unpersist()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    pairs = every.select("doc_id", "digest", F.explode(F.arrays_zip("items", "scores")).alias("x"))
+    best = F.min(F.struct((-F.col("x.scores")).alias("s"), F.col("x.items").alias("i")))
+    met = pairs.groupBy("doc_id", "digest").agg(best.alias("best"), F.array_sort(F.collect_set("x.items")).alias("_items"))
+    met = met.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "best", "_items")
+    keys = keyed.select("doc_id", "digest")
+    out = keys.join(met, keys["doc_id"].eqNullSafe(met["_id"]) & (keys["digest"] == met["_digest"]), "left")
+    empty = F.array().cast(f"array<{kind}>")
+    return out.select("doc_id", F.col("best").isNotNull().alias("contaminated"), F.col("best.i").alias("item_id"), (-F.col("best.s")).alias("similarity"), F.coalesce("_items", empty).alias("items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: the documents that hold no item, with their own columns. An id is dropped if any of its rows is
     contaminated; rows without an id stay."""
-    bad = matches(docs, benchmark).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("bad_id")).distinct()
-    # The hash side holds ids; a sort-merge join would sort whole texts.
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"] == bad["bad_id"], "left_anti")
+    bad = matches(docs, benchmark).filter("contaminated and doc_id is not null").select("doc_id")
+    return without(docs, bad, Stage(docs.sparkSession, "clean"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

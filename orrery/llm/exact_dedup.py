@@ -12,20 +12,20 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from orrery.llm.common import Stage, plain
-
-#: Rows a digest may hold before its rows are matched by broadcast: at most this share of all rows, so 1 / share digests.
-HOT_SHARE = 1e-3
-
+from orrery.llm.common import Stage, join_split, plain, release, table, without
 
 @F.pandas_udf(T.BinaryType())
-def text_digest(text: pd.Series) -> pd.Series:
+def text_digest(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """SHA-256 of the text after lower-casing A-Z only. UTF-8 keeps ASCII bytes apart from all others, so bytes suffice."""
-    return text.map(lambda t: hashlib.sha256((t or "").encode().lower()).digest())
+    release()
+    for text in texts:
+        yield text.map(lambda t: hashlib.sha256((t or "").encode().lower()).digest())
+    release()
 
 
 class DigestIndex:
@@ -50,27 +50,18 @@ class DigestIndex:
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicates docs against the index and itself, appends the new texts, returns doc_id, keep_id, group_size
-        (in the batch that brought the text), kept, digest for every row."""
+        (in the batch that brought the text), kept, digest for every row.
+
+        The batch's own groups meet the index in a sort-merge join, one row for each digest on either side. Its rows then
+        meet what was found; digests with many rows in this batch, whenever they came to the index, by broadcast."""
         stage = Stage(self.spark, "digests")
         rows = stage.put(plain(docs, id_col, text_col).select("doc_id", text_digest("text").alias("digest")), "rows")
         groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        if self.exists():
-            self.append(groups.join(self.read().hint("merge"), "digest", "left_anti"))
-        else:
-            self.append(groups)
-        return self.decide(rows, self.read())
-
-    @staticmethod
-    def decide(rows: DataFrame, index: DataFrame) -> DataFrame:
-        """Each row with its group. Digests with over HOT_SHARE of the rows are at most 1 / HOT_SHARE and are broadcast;
-        all other rows meet the index in a sort-merge join, where no digest holds much."""
-        limit = max(1000, int(rows.count() * HOT_SHARE))
-        hot = index.filter(F.col("group_size") >= limit)
-        cold = index.filter(F.col("group_size") < limit)
-        marked = rows.join(F.broadcast(hot), "digest", "left")
-        near = marked.filter(F.col("group_size").isNotNull()).select("doc_id", "digest", "keep_id", "group_size")
-        far = marked.filter(F.col("group_size").isNull()).select("doc_id", "digest").join(cold.hint("merge"), "digest")
-        return near.unionByName(far.select(near.columns)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        self.append(groups.join(self.read().hint("merge"), "digest", "left_anti") if self.exists() else groups)
+        sizes = groups.select("digest", F.col("group_size").alias("n"))
+        known = sizes.join(self.read().hint("merge"), "digest").select("digest", "n", "keep_id", "group_size")
+        met = join_split(rows, known, "digest", rows.count()).select("doc_id", "digest", "keep_id", "group_size")
+        return met.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def fresh_name() -> str:
@@ -78,22 +69,23 @@ def fresh_name() -> str:
 
 
 def deduplicate(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A batch against a fresh index."""
+    """A batch against a fresh index, which is dropped once the verdicts are written."""
     spark = docs.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return DigestIndex(spark, fresh_name(), buckets).add(docs, id_col, text_col)
+    index = DigestIndex(spark, fresh_name(), buckets)
+    try:
+        return Stage(spark, "verdicts").put(index.add(docs, id_col, text_col), "verdicts")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {index.name}")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The documents whose verdict is to stay, with their own columns."""
-    stay = deduplicate(docs).filter("kept").select(F.col("doc_id").alias("stay_id")).distinct()
-    # The hash side holds ids; a sort-merge join would sort whole texts.
-    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
+    """Pipeline stage: the documents of an id that has a row whose verdict is to stay, with their own columns."""
+    gone = deduplicate(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).filter("not stays").select("doc_id")
+    return without(docs, gone, Stage(docs.sparkSession, "exact"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from orrery.llm.common import table
-
     found = deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 

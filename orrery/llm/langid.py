@@ -9,8 +9,8 @@ uniform model over the language's characters gives than to what calibration text
 The models are fitted on a bounded sample: at most PER_LANG texts of each language, by order of a hash of the id.
 
 Defined results: `und`, score 0 and rejected for a null text or one without a letter; ties go to the first language in
-alphabetical order; without any learned text every text is `und`; a text is scored in slices of SLICE characters, and
-the sums over all slices count; rows are independent of each other, so repeated rows get equal results.
+alphabetical order; without any learned text every text is `und`; a text of over SLICE characters is scored in slices that
+carry their context over; rows are independent of each other, so repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from orrery.llm.common import bounded, id_crc, table
+from orrery.llm.common import BROADCAST_KEYS, Stage, id_crc, release, sized, table, trimmed
 
 ORDER = 4
 #: Bound of the fitting sample.
 PER_LANG = 1200
 SLICE = 1 << 18
 #: Characters scored at a time, about: bounds a worker's arrays.
-AT_ONCE = 1 << 17
+AT_ONCE = 1 << 16
 BLANK, EDGE, OTHER = 32, 1, 0xFFFF
 #: Share of calibration texts whose cross-entropy the clean side of the threshold must hold.
 CALIBRATION = 0.999
@@ -128,55 +128,74 @@ class Model:
         m.limit = m.uniform.copy()
         return m
 
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sums of log probabilities by text and language, positions counted, and whether a letter occurs."""
-        c, start = codes(texts)
+    def _logs(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log probabilities by language of the codes at some places, given the codes before them."""
         k = {n: keys(c, n) for n in range(1, ORDER + 1)}
         out = np.zeros((len(c), len(self.langs)), np.float32)
-        rest = np.flatnonzero(c != EDGE)
+        rest = at
         for n in range(ORDER, 1, -1):
-            at, hit = find(self.grams[n], k[n][rest])
-            out[rest[hit]] += self.logp[n][at[hit]]
+            where, hit = find(self.grams[n], k[n][rest])
+            out[rest[hit]] += self.logp[n][where[hit]]
             rest = rest[~hit]
-            at, hit = find(self.contexts[n], k[n - 1][rest - 1])
-            out[rest[hit]] += self.backoff[n][at[hit]]
-        at, hit = find(self.grams[1], k[1][rest])
-        out[rest[hit]] += self.logp[1][at[hit]]
+            where, hit = find(self.contexts[n], k[n - 1][rest - 1])
+            out[rest[hit]] += self.backoff[n][where[hit]]
+        where, hit = find(self.grams[1], k[1][rest])
+        out[rest[hit]] += self.logp[1][where[hit]]
         out[rest[~hit]] += self.unseen.astype(np.float32)
+        return out
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of log probabilities by text and language, positions counted, and whether a letter occurs."""
+        c, start = codes(texts)
+        out = self._logs(c, np.flatnonzero(c != EDGE))
         stop = np.r_[start[1:] - 3, len(c)]
         running = np.zeros((len(c) + 1, len(self.langs)))
         np.cumsum(out, axis=0, dtype=np.float64, out=running[1:])
         letter = np.r_[0, np.cumsum(c > BLANK)]
         return running[stop] - running[start], stop - start, letter[stop] > letter[start]
 
+    def score_long(self, text: str) -> tuple[np.ndarray, int, bool]:
+        """The same for one long text, slice by slice. The last codes of a slice stand before the next one, so the result
+        is that of the whole text; a slice ends before a blank where it can, so that no word is lower-cased in parts."""
+        total, size, letter, before, at = np.zeros(len(self.langs)), 0, False, np.full(3, EDGE, np.uint64), 0
+        while at < len(text):
+            stop = at + SLICE
+            if stop < len(text) and (blank := text.rfind(" ", at + 1, stop)) > 0:
+                stop = blank
+            c, _ = codes([text[at:stop]])
+            first = 4 if before[2] == BLANK and len(c) > 3 and c[3] == BLANK else 3
+            c = np.concatenate([before, c[first:]])
+            total += self._logs(c, np.arange(3, len(c))).sum(0, dtype=np.float64)
+            size, letter, before, at = size + len(c) - 3, letter or bool((c[3:] > BLANK).any()), c[-3:], stop
+        return total, size, letter
+
     def judge(self, texts: pd.Series) -> pd.DataFrame:
         """lang_pred, score, entropy, accepted for each text."""
         n = len(texts)
+        if not self.langs:
+            return pd.DataFrame({"lang_pred": ["und"] * n, "score": 0.0, "entropy": np.full(n, np.nan), "accepted": False})
         total, size, letter = np.zeros((n, len(self.langs))), np.zeros(n), np.zeros(n, bool)
         rows: list[int] = []
         parts: list[str] = []
 
         def flush() -> None:
             if rows:
-                s, k, has = self.scores(parts)
-                np.add.at(total, rows, s)
-                np.add.at(size, rows, k)
-                np.logical_or.at(letter, rows, has)
+                total[rows], size[rows], letter[rows] = self.scores(parts)
                 rows.clear()
                 parts.clear()
 
         held = 0
         for i, t in enumerate(texts):
-            for a in range(0, len(t or ""), SLICE):
+            if t and len(t) > SLICE:
+                total[i], size[i], letter[i] = self.score_long(t)
+            elif t:
                 rows.append(i)
-                parts.append(t[a : a + SLICE])
-                held += len(parts[-1])
+                parts.append(t)
+                held += len(t)
                 if held >= AT_ONCE:
                     flush()
                     held = 0
         flush()
-        if not self.langs:
-            return pd.DataFrame({"lang_pred": ["und"] * n, "score": 0.0, "entropy": np.full(n, np.nan), "accepted": False})
         h = -total / np.maximum(size, 1)[:, None]
         best = h.argmin(1)
         low = h[np.arange(n), best]
@@ -213,7 +232,7 @@ def sample(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> DataFram
 def train(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model:
     """Fits and calibrates on the rows where learn holds. What reaches the driver is bounded by the sample."""
     picked = sample(docs.select("doc_id", "text", "lang"), learn, per_lang).persist()
-    grams = picked.filter(~F.col("calibrate")).select("text", "lang").mapInPandas(count_grams, "lang string, gram long, n long")
+    grams = picked.filter(~F.col("calibrate")).select("text", "lang").mapInPandas(trimmed(count_grams), "lang string, gram long, n long")
     got = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
     if not langs:
@@ -231,13 +250,17 @@ def train(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score, entropy and accepted in place of columns of those names."""
-    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, entropy double, accepted boolean")
-    def judge(text: pd.Series) -> pd.DataFrame:
-        return shared.value.judge(text)
-
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
+        for text in texts:
+            yield shared.value.judge(text)
+        release()
+
+    # A filter on the verdict would else be pushed below and judge every text twice, in two workers.
+    judge = judge.asNondeterministic()
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "entropy", "accepted", "_judged")]
     return docs.select(*own, judge(F.col(text_col)).alias("_judged")).select(*own, "_judged.*")
 
@@ -251,10 +274,15 @@ def learnable() -> Column:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the documents whose language is accepted, with their own columns."""
-    model = train(docs, learnable())
-    judged = identify(docs.select(F.struct(*docs.columns).alias("row"), F.col("text")), model)
-    return judged.filter("accepted").select("row.*")
+    """Pipeline stage: the documents whose language is accepted, with their own columns. The verdict hangs on the text
+    alone, so rejected texts are noted by digest and no row of docs goes through a worker or a shuffle, unless very many
+    are rejected."""
+    stage = Stage(docs.sparkSession, "language")
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    judged = identify(docs.select("text", digest.alias("_digest")), train(docs, learnable()))
+    rejected = stage.put(judged.filter("not accepted").select("_digest").distinct(), "rejected")
+    stage.sweep()
+    return docs.join(sized(rejected, BROADCAST_KEYS), digest == rejected["_digest"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

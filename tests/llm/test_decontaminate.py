@@ -71,6 +71,25 @@ def test_blocks_agree(spark, sf_dir):
     assert one == many and any(one.values())
 
 
+def test_blocks_with_repeated_ids_and_text_ids(spark, sf_dir):
+    """Rows of one id but other texts keep their own results over several blocks; ids of items may be strings."""
+    items = [(f"item {r.item_id:03d}", r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, "before " + items[0][1] + " after"), (1, items[-1][1] + " " + items[1][1]), (1, "clean"), (None, items[2][1]), (None, items[2][1]), (3, None)], "doc_id long, text string")
+    key = lambda r: (r.doc_id or 0, r.contaminated, r.item_id or "", r.similarity or 0, tuple(r["items"]))
+    one, many = (sorted(map(key, d.matches(docs, bench, size=s).collect())) for s in (2000, 7))
+    assert one == many
+    assert [(x[0], x[4]) for x in one if x[1]] == [(0, (items[2][0],)), (0, (items[2][0],)), (1, (items[0][0],)), (1, (items[1][0], items[-1][0]))]
+    assert sum(not x[1] for x in one) == 2
+
+
+def test_words_of_blocks_are_counted_together():
+    made = [[(i, f"w{i} w{i + 1} shared")] for i in range(8)]
+    assert [len(b) for b, _ in d.together(iter(made), 6)] == [4, 4]
+    assert [len(b) for b, _ in d.together(iter(made), 1)] == [1] * 8
+    assert list(d.together(iter([]))) == []
+
+
 def test_svd_spans_the_rows(spark):
     rng = np.random.default_rng(0)
     rows = [rng.integers(1, 20, 16) for _ in range(40)]

@@ -34,3 +34,28 @@ def test_hot_digests_take_the_broadcast_path(spark):
     assert got.count() == n
     assert got.filter("kept").count() == 501
     assert got.filter("keep_id = 2499 and group_size = 2500").count() == 2500
+
+
+def test_digest_that_turns_hot_later(spark):
+    """A batch larger than the index, most of whose rows have a text that an earlier, small batch brought."""
+    index = DigestIndex(spark, fresh_name(), 4)
+    index.add(spark.createDataFrame([(7, "Same"), (8, "other")], "doc_id long, text string")).collect()
+    docs = spark.range(100, 4100).selectExpr("id as doc_id", "if(id < 3100, 'sAME', concat('own ', cast(id as string))) as text")
+    rows = index.add(docs).collect()
+    assert len(rows) == 4000
+    assert sum(r.keep_id == 7 and not r.kept and r.group_size == 1 for r in rows) == 3000
+    assert sum(r.kept and r.keep_id == r.doc_id for r in rows) == 1000
+    assert index.read().count() == 1002
+
+
+def test_survivors_of_repeated_ids(spark):
+    """An id stays if any of its rows does; rows without an id are judged together."""
+    rows = [(1, "a"), (1, "b"), (2, "a"), (3, "c"), (3, "c"), (4, "d"), (None, "d"), (None, None)]
+    got = survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got) == [(0, ""), (0, "d"), (1, "a"), (1, "b"), (2, "a"), (3, "c"), (3, "c"), (4, "d")]
+
+
+def test_no_table_is_left(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    deduplicate(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before

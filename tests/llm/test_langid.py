@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,10 +17,10 @@ def test_held_out_accuracy(spark):
     assert rows.filter("score < 0 or score > 1").count() == 0
 
 
-def small_model():
+def small_model(texts=(["the cat and the hat then that"], ["der hund und die katze der das"])):
     grams, lang = [], []
-    for i, t in enumerate(["the cat and the hat then that", "der hund und die katze der das"]):
-        c, _ = langid.codes([t])
+    for i, own in enumerate(texts):
+        c, _ = langid.codes(list(own))
         k = langid.keys(c, 4)[c != langid.EDGE]
         grams += k.tolist()
         lang += [i] * len(k)
@@ -52,11 +55,55 @@ def test_edges(spark):
     assert langid.accepted(docs).columns == docs.columns
 
 
-def test_slices_cover_whole_texts(monkeypatch):
+@pytest.mark.parametrize("text", ["the cat " * 50 + "der hund und die katze " * 200, "x" * 500, " 1 " * 300 + "the" + "!" * 200 + " cat", "ab" + " " * 100 + "cd" * 100])
+def test_slices_carry_their_context(monkeypatch, text):
     m = small_model()
-    whole = m.judge(["the cat " * 50 + "der hund und die katze " * 200])
+    whole = m.judge(pd.Series([text]))
     monkeypatch.setattr(langid, "SLICE", 64)
-    monkeypatch.setattr(langid, "AT_ONCE", 100)
-    cut = m.judge(["the cat " * 50 + "der hund und die katze " * 200])
-    assert whole["lang_pred"][0] == cut["lang_pred"][0] == "de"
-    assert whole["entropy"][0] == pytest.approx(cut["entropy"][0], rel=0.05)
+    cut = m.judge(pd.Series([text]))
+    assert whole["lang_pred"][0] == cut["lang_pred"][0]
+    assert whole["entropy"][0] == pytest.approx(cut["entropy"][0], rel=1e-9)
+    assert m.score_long(text)[1] == m.scores([text])[1][0]
+
+
+def naive_kneser_ney(texts, order=4):
+    """Probability of a character after others, from the texts of one language, by the definition: counts of the highest
+    order, continuation counts below, one discount for each order, uniform at last."""
+    grams = {order: Counter()}
+    for t in texts:
+        s = "\x01\x01\x01" + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split(" "))
+        for i in range(3, len(s)):
+            grams[order][s[i - order + 1 : i + 1]] += 1
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    discount = {}
+    for n, c in grams.items():
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[n] = min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
+
+    def p(gram, alphabet):
+        if not gram:
+            return 1 / (alphabet + 1)
+        n, lower = len(gram), p(gram[1:], alphabet)
+        rows = {g: v for g, v in grams[n].items() if g[:-1] == gram[:-1]}
+        if not rows:
+            return lower
+        total = sum(rows.values())
+        return max(rows.get(gram, 0) - discount[n], 0) / total + discount[n] * len(rows) / total * lower
+
+    return p
+
+
+def test_against_naive_kneser_ney():
+    texts = [["the cat and the hat then that", "a theme"], ["der hund und die katze der das", "ein tag"]]
+    m = small_model(texts)
+    alphabet = len({c for t in sum(texts, []) for c in t})
+    for lang, own in enumerate(texts):
+        p = naive_kneser_ney(own)
+        for query in ("the hat", "der tag", "q", "an zzz the", "hund"):
+            s, total = "\x01\x01\x01" + query, 0.0
+            for i in range(3, len(s)):
+                total += np.log(p(s[i - 3 : i + 1], alphabet))
+            got, n, _ = m.scores([query])
+            assert n[0] == len(query)
+            assert got[0, lang] == pytest.approx(total, rel=1e-5)

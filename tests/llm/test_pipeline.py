@@ -11,7 +11,6 @@ import tiktoken
 import corpus_pipeline
 from orrery.llm import byte_bpe
 from orrery.llm.common import Stage
-from orrery.llm.simhash import shingle_set
 
 DIR = "/root/testdata/sf0.01"
 
@@ -52,6 +51,11 @@ def test_exact(texts):
     assert set(after) == set(best.values())
 
 
+def shingle_set(text, words):
+    w = (text or "").encode().lower().split()
+    return {hash(tuple(w[i : i + words])) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
 def similar(a, b):
     return len(a & b) >= 0.8 * len(a | b)
 
@@ -126,3 +130,28 @@ def test_near_against_all_pairs(texts):
             a, b = root(n), root(m)
             up[max(a, b)] = min(a, b)
     assert {i for n, i in enumerate(ids) if root(n) == n} == set(after)
+
+
+def test_odd_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows and further columns; then no rows at all."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(300)
+    own = docs.columns
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    clean = docs.filter("lang = 'en' and length(text) between 800 and 3000").select("text").limit(2).collect()
+    odd = [(None, clean[0].text + " alone"), (None, clean[0].text + " alone"), (None, None), (10**12, item), (10**12 + 1, None), (10**12 + 2, clean[1].text + " and more"), (10**12 + 2, clean[1].text + " and more")]
+    more = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'odd' as source", "cast(length(text) as long) as n_chars")
+    every = docs.unionByName(more).selectExpr("*", "doc_id as gone_id", "'x' as digest", "1 as kept", "text as row")
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DIR}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stage = Stage(spark, "odd")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        now = stage.put(step(spark, now, str(tmp_path)), name)
+        assert now.columns == every.columns
+    kept = [r for r in now.collect() if r.source == "odd"]
+    assert sum(r.doc_id is None for r in kept) == 2 and not any(r.text is None or r.doc_id == 10**12 for r in kept)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == now.count() and set(own) <= set(every.columns)
+    every.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{DIR}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
