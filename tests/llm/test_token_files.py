@@ -1,8 +1,10 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -26,16 +28,42 @@ def test_pack_round_trip(n):
     assert t.unpack(control, data, n).tolist() == v.tolist()
 
 
+POOLS = ["abc THE and'", "Àéîöüß İıſ ǅ", "0123456789.,;:!?", "'s't're'll'd", "\t\r\x0b\x85   \x1c", "漢字かな한글", "😀é́̂", ["<|endoftext|>", "ᄀ", "ᅡ", "Σ", "^", "\u0958", "!", "İ"], "#$&*-_—"]
+
+
+def split(ids, n):
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
 def test_same_as_library(library, monkeypatch):
     rng = random.Random(6)
-    pools = ["abc THE and'", "Àéîöüß İıſ ǅ", "0123456789.,;:!?", "'s't're'll'd", "\t\r\x0b\x85   \x1c", "漢字かな한글", "😀é́̂", "<|endoftext|>", "#$&*-_—"]
-    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(80))) for _ in range(1500)] + ["", "word " * 3000, "x" * 20_000]
+    texts = ["".join(rng.choice(rng.choice(POOLS)) for _ in range(rng.randrange(80))) for _ in range(1500)] + ["", "word " * 3000, "x" * 20_000]
+    want = [library.encode(x, add_special_tokens=False).ids + [2] for x in texts]
     for cache in (800_000, 50):
         monkeypatch.setattr(t, "CACHE", cache)
         encoder = t.Encoder(open(PATH, encoding="utf-8").read(), 2)
+        assert encoder.by_word and encoder.tails and encoder.mark and encoder.bare is not None
         for i in range(0, len(texts), 100):
-            for text, ids in zip(texts[i : i + 100], encoder.encode(texts[i : i + 100])):
-                assert np.frombuffer(ids, encoder.kind).tolist() == library.encode(text, add_special_tokens=False).ids + [2], repr(text)
+            got = split(*encoder.encode(pa.array(texts[i : i + 100])))
+            assert got == want[i : i + 100], [x for x, a, b in zip(texts[i:], got, want[i:]) if a != b][:1]
+
+
+def test_long_text_in_slices(library, monkeypatch):
+    rng = random.Random(2)
+    encoder = t.Encoder(open(PATH, encoding="utf-8").read(), 2)
+    for text in ("".join(rng.choice(rng.choice(POOLS)) for _ in range(4000)), "x" * 300 + " y" * 300, "no" * 500, ""):
+        monkeypatch.setattr(t, "SLICE", 64)
+        assert encoder.long(text).tolist() == library.encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_tokenizer_that_keeps_blanks():
+    """One whose ids depend on the blanks between words gets whole texts."""
+    path = P.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    encoder = t.Encoder(open(path, encoding="utf-8").read(), 2)
+    assert not encoder.by_word
+    texts = ["ab cd", "", " a  b\n", "été 12"]
+    assert split(*encoder.encode(pa.array(texts))) == [other.encode(x, add_special_tokens=False).ids + [2] for x in texts]
 
 
 def check(rows, texts, library):
@@ -64,5 +92,24 @@ def test_small_blocks_and_edges(spark, library):
     assert blocks.count() >= 3
     check(t.locate(*t.read(blocks, ranks)).collect(), sorted((r[0], r[1]) for r in rows), library)
     assert all(zlib.crc32(r["ids"]) == r.ids_crc32 and len(r["ids"]) == 4 * r.n_tokens for r in t.read(blocks, ranks)[0].collect())
+    counted = Counter(i for r in rows for i in library.encode(r[1] or "", add_special_tokens=False).ids + [2])
+    assert np.frombuffer(ranks.first()["ids"], "<u4").tolist() == sorted(counted, key=lambda i: (-counted[i], i))
     empty = stage.put(t.encode(spark.createDataFrame([], schema), PATH, 2), "none")
     assert t.locate(*t.read(*t.write(empty, Stage(spark, "e")))).count() == 0
+
+
+def test_rows_without_id_or_of_one_id(spark, library):
+    """Rows without an id come first; those of one id are spread over ranges and keep the order of their ties."""
+    texts = [f"text number {i}" for i in range(400)]
+    docs = [(None if i % 2 else 7 if i % 4 else i, x) for i, x in enumerate(texts)]
+    stage = Stage(spark, "t")
+    ids = stage.put(t.encode(spark.createDataFrame(docs, "doc_id long, text string"), PATH, 2), "ids")
+    rows = t.locate(*t.read(*t.write(ids, stage, block=50))).collect()
+    encode = lambda x: np.array(library.encode(x, add_special_tokens=False).ids + [2], "<u2")
+    order = sorted((i is not None, i or 0, zlib.crc32(encode(x).tobytes()), x) for i, x in docs)
+    start, want = 0, []
+    for there, i, _, x in order:
+        n = encode(x)
+        want.append((i if there else None, start, len(n), zlib.crc32(n.astype("<u4").tobytes())))
+        start += len(n)
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows), key=lambda r: r[1]) == want
