@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import join_split, rows_of, table
 
 # The list of the query, as (entry, list, key, verdict, action, date).
 ENTRIES = [
@@ -58,17 +58,23 @@ def segment(url: Column) -> Column:
 
 
 def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
-    """id, host, fetched, verdict (block, allow, none), entry_id, kept for every capture."""
+    """id, host, fetched, verdict (block, allow, none), entry_id, kept for every capture. Sites and keys with many rows
+    get their rules by broadcast, so that no task holds all captures of one."""
     rows = captures.select(F.col(id_col).alias("page_id"), F.col(time_col).alias("fetched"), host(F.col(url_col)).alias("host"), F.coalesce(segment(F.col(url_col)), F.lit("")).alias("segment"))
-    sites = rows.filter("host is not null").groupBy("host", "segment").agg(F.lit(1).alias("_one"))
+    total = captures.count()
+    hosted = rows.filter("host is not null")
+    sites = hosted.groupBy("host", "segment").agg(F.count(F.lit(1)).alias("n"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     paths = F.transform(suffixes, lambda s: F.concat(s, F.lit("/"), F.col("segment")))
     keys = sites.select("host", "segment", F.explode(F.when(F.col("segment") == "", suffixes).otherwise(F.concat(suffixes, paths))).alias("key"))
     depth = F.size(F.split(F.substring_index("key", "/", 1), r"\."))
     rule = F.struct((-depth).alias("depth"), (-F.instr("key", "/").cast("boolean").cast("int")).alias("path"), "verdict", "list", "entry_id", "valid_from", "valid_to")
-    rules = keys.join(intervals(entries), "key").groupBy("host", "segment").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
-    met = rows.join(rules, ["host", "segment"], "left")
+    held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rules = join_split(keys, intervals(entries).join(held, "key"), "key", total).groupBy("host", "segment").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+    found = sites.join(rules, ["host", "segment"], "left")
+    met = join_split(hosted, found, ["host", "segment"], total)
+    met = met.unionByName(rows.filter("host is null").withColumn("rules", F.lit(None).cast(met.schema["rules"].dataType)))
     active = F.filter("rules", lambda r: (r["valid_from"] <= F.col("fetched")) & (r["valid_to"].isNull() | (F.col("fetched") < r["valid_to"])))
     first = F.get(active, F.lit(0))
     verdict = F.coalesce(first["verdict"], F.lit("none"))
@@ -77,8 +83,9 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED).alias("fetched"))
-    entries = spark.createDataFrame([(*e[:5], None, e[5]) for e in ENTRIES], "entry_id long, list string, key string, verdict string, action string, date date, d string")
-    return judge(pages, entries.withColumn("date", F.col("d").cast("date")).drop("d"))
+    names = ("entry_id", "list", "key", "verdict", "action", "date")
+    entries = rows_of(spark, **dict(zip(names, map(list, zip(*ENTRIES)))))
+    return judge(pages, entries.withColumn("date", F.col("date").cast("date")))
 
 
 ORACLE = (

@@ -34,3 +34,13 @@ def test_query_equals_sql(spark):
     want = sorted((dict(zip(names, r)) for r in rel.fetchall()), key=lambda r: r["page_id"])
     got = sorted((r.asDict() for r in u.query(spark, sf_dir).collect()), key=lambda r: r["page_id"])
     assert got == want and {r["verdict"] for r in got} == {"none", "block", "allow"}
+
+
+def test_hot_site_and_very_long_url(spark):
+    """Captures of one site are judged alike by broadcast and by shuffle; a very long URL has a host like any other."""
+    e = entries(spark, [(1, "a", "hot.com", "block", "add", DAY(2024, 1, 10)), (2, "a", "rare.com/p", "block", "add", DAY(2024, 1, 10))])
+    rows = spark.range(6000).selectExpr("id as page_id", "case when id < 4000 then 'http://hot.com/x' when id < 5500 then 'http://calm.org/' else concat('http://rare.com/p/', id) end as url", "date'2024-02-01' as fetched")
+    more = spark.createDataFrame([(9000, "http://rare.com/p/" + "x" * 2_000_000), (9001, "http://" + "a." * 200 + "hot.com/" + "y" * 500_000)], "page_id long, url string").selectExpr("*", "date'2024-02-01' as fetched")
+    got = {r.page_id: r.verdict for r in u.judge(rows.unionByName(more), e).collect()}
+    assert len(got) == 6002
+    assert all(v == ("none" if 4000 <= i < 5500 else "block") for i, v in got.items())
