@@ -1,5 +1,12 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, decontamination, tokens. Each stage works on all that the
-one before it kept, read back from the table that it wrote. All but the last return the columns of documents."""
+one before it kept, read back from the table that it wrote. All but the last return the columns of documents.
+
+Defined results: a document goes where its language is rejected (a null text or one without letters among them), where an
+equal text of greater id stays, where it is like one of smaller id (five-word shingles, similarity 0.8 or more, over any
+chain of such pairs), or where it holds a benchmark item. What hangs on a null id stays: such rows lose to any other in
+exact dedup and are never near duplicates or contaminated. Of rows with one id all stay or go, but for the language, which
+is judged for each row. Further columns pass through all stages but the last. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -43,7 +50,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
         docs = stage.put(step(spark, docs, sf_dir), name)
+        if before:
+            stage.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
