@@ -58,6 +58,20 @@ def kind_of(faces: Column, largest: Column) -> Column:
     return F.when(F.coalesce(faces, F.lit(0)) == 0, "detail").when(largest < 0.004, "far").when(faces == 1, "portrait").when(faces == 2, "couple").otherwise("group")
 
 
+def landscape(width: Column, height: Column) -> Column:
+    """Whether a frame is wide; square ones and those without a height aren't."""
+    return (height > 0) & (width > 1.2 * height)
+
+
+def is_grey(saturation: Column) -> Column:
+    return saturation < 0.06
+
+
+def last_number(name: Column) -> Column:
+    """The last run of digits in a name; null without one."""
+    return F.nullif(F.regexp_extract(name, r"(\d+)\D*$", 1), F.lit("")).cast("long")
+
+
 def overlap_cut(box: list[Column], window: list[Column]) -> Column:
     """Share of a box (x, y, w, h) that lies outside a window, rounded to 3 places; areas count as 1 at least."""
     side = lambda k: F.greatest(F.lit(0.0), F.least(box[k] + box[k + 2], window[k] + window[k + 2]) - F.greatest(box[k], window[k]))

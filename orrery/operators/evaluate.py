@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -18,3 +23,21 @@ def auc(df: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame
 def distribution(df: DataFrame, by: str, value: str) -> DataFrame:
     counts = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(by)))
+
+
+def overlap_by_chance(counts: DataFrame, by: str, size: int, draws: int, seed: int = 0) -> DataFrame:
+    """by, mean_hits, deviation of how many of `good` among `n` items are in a random choice of `size`. The hits of a draw
+    without replacement have the hypergeometric law, so an album costs one row however many items it has; the draws hang
+    on the album's value alone."""
+    kind = counts.schema[by].dataType.simpleString()
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            out = []
+            for key, n, good in zip(rows["by"], rows["n"], rows["good"]):
+                hits = np.random.default_rng([seed, zlib.crc32(str(key).encode())]).hypergeometric(good, n - good, min(size, n), draws)
+                out.append((key, hits.mean(), hits.std()))
+            yield pd.DataFrame(out, columns=["by", "mean_hits", "deviation"])
+
+    small = counts.select(F.col(by).alias("by"), "n", "good")
+    return small.mapInPandas(draw, f"by {kind}, mean_hits double, deviation double").withColumnRenamed("by", by)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import ClassVar
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -62,3 +68,73 @@ def training_moments(df: DataFrame, album: str, grp: str, elected: Column) -> Da
 
 
 __all__ = ["feature_vector", "leave_one_out", "score_preference", "standardized", "train_preference", "training_moments", "vector_to_array"]
+
+
+@dataclass
+class StyleModel:
+    """Likeness to a set of reference rows: robust scales, weights by what the others differ in, nearest neighbours.
+
+    The references are the model, so their vectors are held by the driver and sent to the tasks; at most MOST of them are
+    taken, by a hash of their ids."""
+
+    center: np.ndarray
+    scale: np.ndarray
+    weight: np.ndarray
+    points: np.ndarray
+    typical: float
+
+    NEAREST: ClassVar[int] = 3
+    CLIP: ClassVar[float] = 5.0
+    MOST: ClassVar[int] = 50_000
+
+    @staticmethod
+    def medians(df: DataFrame, features: str, center: np.ndarray | None = None, scale: np.ndarray | None = None, away: bool = False) -> np.ndarray:
+        """5th, 50th and 95th percentile of each feature, less center over scale, or of the distances from it; one row for
+        each feature reaches the driver."""
+        x = F.posexplode(F.transform(features, lambda v: v.cast("double"))).alias("i", "x")
+        rows = df.select(x)
+        if center is not None:
+            at = lambda v: F.get(F.array(*(F.lit(float(k)) for k in v)), F.col("i"))
+            value = (F.col("x") - at(center)) / at(scale if scale is not None else np.ones(len(center)))
+            rows = rows.withColumn("x", F.abs(value) if away else value)
+        got = rows.groupBy("i").agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p")).orderBy("i").collect()
+        return np.array([r["p"] for r in got])
+
+    @classmethod
+    def fit(cls, good: DataFrame, other: DataFrame, features: str, id_col: str) -> StyleModel:
+        p = cls.medians(good, features)
+        if not len(p) or good.count() <= cls.NEAREST:
+            raise ValueError(f"at least {cls.NEAREST + 1} references are needed")
+        mad = cls.medians(good, features, p[:, 1], away=True)[:, 1] * 1.4826
+        scale = np.maximum(np.maximum(mad, (p[:, 2] - p[:, 0]) / 4), 0.01)
+        apart = cls.medians(other, features, p[:, 1], scale)
+        weight = np.clip(np.abs(apart[:, 1]), 0.15, 3.0) if len(apart) else np.ones(len(scale))
+        rows = good.orderBy(F.xxhash64(id_col), id_col).limit(cls.MOST).select(features).toArrow().column(0).combine_chunks()
+        points = (rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1) - p[:, 1]) / scale
+        model = cls(p[:, 1], scale, weight / weight.mean(), points, 1.0)
+        kind = good.schema[id_col].dataType.simpleString()
+        own = good.select(F.col(id_col).alias("id"), features).mapInArrow(model._distances(True), f"id {kind}, d double")
+        model.typical = own.agg(F.percentile("d", F.lit(0.5))).first()[0] or 1.0
+        return model
+
+    def _distances(self, own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Mean distance to the nearest points; own: one of distance 0, the row itself, is left out."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                z = (x - self.center) / self.scale
+                out = np.zeros(len(z))
+                for k, row in enumerate(z):
+                    d = np.sqrt(((np.clip(self.points - row, -self.CLIP, self.CLIP) * self.weight) ** 2).mean(1))
+                    d = np.sort(np.delete(d, d.argmin()) if own else d)[: self.NEAREST]
+                    out[k] = d.mean()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["id", "d"])
+
+        return run
+
+    def score(self, df: DataFrame, features: str, id_col: str) -> DataFrame:
+        """id, style: 1 is as alike to the references as can be, 0.37 what they typically are to each other."""
+        kind = df.schema[id_col].dataType.simpleString()
+        out = df.select(F.col(id_col).alias("id"), features).mapInArrow(self._distances(False), f"id {kind}, d double")
+        return out.select(F.col("id").alias(id_col), F.round(F.exp(-F.col("d") / max(self.typical, 1e-6)), 4).alias("style"))

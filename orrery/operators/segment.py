@@ -15,9 +15,11 @@ CHAPTERS = ["start", "ceremony", "portraits", "party"]
 
 def cuts(gaps: list[float], blocks: int, least_gap: float) -> list[int]:
     """gaps[i] lies between items i and i + 1. Takes the largest gaps (of equal ones the later) of at least least_gap,
-    each max(1, 3 % of the items) from other cuts and the ends, until blocks - 1 cuts; what is short is cut evenly, if
-    that is far enough from the cuts there are. Returns the first items of blocks but the first."""
+    each max(1, 3 % of the items) from other cuts and the ends, until blocks - 1 cuts, blocks being the items at most. As
+    many cuts as are short are then spread evenly over the whole line; one too near to another cut is left out. Returns
+    the first items of blocks but the first."""
     n = len(gaps) + 1
+    blocks = max(1, min(blocks, n))
     apart = max(1, int(0.03 * n))
     taken: list[int] = []
 
@@ -30,9 +32,10 @@ def cuts(gaps: list[float], blocks: int, least_gap: float) -> list[int]:
             break
         if apart <= place <= n - apart and not near(place):
             bisect.insort(taken, place)
-    for k in range(1, blocks):
-        place = round(k * n / blocks)
-        if len(taken) < blocks - 1 and 0 < place < n and not near(place):
+    short = blocks - 1 - len(taken)
+    for k in range(1, short + 1):
+        place = round(n * k / (short + 1))
+        if not near(place):
             bisect.insort(taken, place)
     return taken
 
@@ -58,21 +61,24 @@ def equal_blocks(df: DataFrame, blocks: int, album: str = "album") -> DataFrame:
 
 
 def block_features(df: DataFrame, album: str = "album", block: str = "block") -> DataFrame:
-    """Mean of the ranks of brightness, faces and value; shares of couples and details; mean place."""
+    """Mean of the ranks of brightness, faces and sky; shares of couples without others about (three faces at most) and of
+    details; mean place in the album from 0 to 1."""
     df = percentile_rank(df, F.col("value"), "_light", album)
     df = percentile_rank(df, F.col("faces"), "_faces", album)
     df = percentile_rank(df, F.col("k"), "_sky", album)
-    place = F.row_number().over(Window.partitionBy(album).orderBy("taken", "item_id")) - 1
+    own = Window.partitionBy(album)
+    place = (F.row_number().over(own.orderBy("taken", "item_id")) - 1) / F.greatest(F.count(F.lit(1)).over(own) - 1, F.lit(1))
     df = df.withColumn("_place", place)
-    return df.groupBy(album, block).agg(F.avg("_light").alias("light"), F.avg("_faces").alias("crowd"), F.avg("_sky").alias("sky"), F.avg((F.col("kind") == "couple").cast("double")).alias("couples"), F.avg((F.col("kind") == "detail").cast("double")).alias("details"), F.avg("_place").alias("place"))
+    return df.groupBy(album, block).agg(F.avg("_light").alias("light"), F.avg("_faces").alias("crowd"), F.avg("_sky").alias("sky"), F.avg(((F.col("kind") == "couple") & (F.coalesce(F.col("faces"), F.lit(0)) <= 3)).cast("double")).alias("couples"), F.avg((F.col("kind") == "detail").cast("double")).alias("details"), F.avg("_place").alias("place"))
 
 
 def affinity(chapter: Column) -> Column:
     """How well a block's features fit a chapter; any name but the first three counts as the last."""
-    form = F.when(chapter == "start", 0.6 * F.col("details") + 0.4 * (1 - F.col("crowd")))
-    form = form.when(chapter == "ceremony", 0.5 * F.col("light") + 0.5 * F.col("couples"))
-    form = form.when(chapter == "portraits", 0.7 * F.col("couples") + 0.3 * F.col("sky"))
-    return form.otherwise(0.8 * F.col("crowd") + 0.2 * (1 - F.col("light")))
+    light, crowd, sky, couples, details, place = (F.col(c) for c in ("light", "crowd", "sky", "couples", "details", "place"))
+    form = F.when(chapter == "start", 1.2 * (1 - sky) + details + 0.8 * (1 - crowd) + (1 - place))
+    form = form.when(chapter == "ceremony", 1.4 * crowd + 0.6 * light + 0.5 * (1 - details))
+    form = form.when(chapter == "portraits", 1.6 * couples + sky + 0.8 * (1 - crowd) + 0.6 * light)
+    return form.otherwise(1.6 * (1 - light) + 0.9 * crowd + 0.8 * place)
 
 
 def chapter_affinity(features: DataFrame, chapters: list[str] = CHAPTERS) -> DataFrame:

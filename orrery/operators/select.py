@@ -21,15 +21,15 @@ def largest_remainder(units: DataFrame, weight: Column, seats: int, by: str, uni
 
 
 def spill(wanted: list[int], supply: list[int]) -> list[int]:
-    """min(wanted, supply), then what is missing goes one by one to the unit of most slack (ties: the one with fewer),
-    none over max(1, round(1.5 wanted)); what fits nowhere is left out."""
+    """min(wanted, supply), then what is missing goes one by one to the unit of most slack, which is what supply and a cap
+    of max(1, round(1.5 wanted)) leave it (ties: the one with fewer, then the first); what fits nowhere is left out."""
     got = [min(w, s) for w, s in zip(wanted, supply)]
-    cap = [max(1, round(1.5 * w)) for w in wanted]
+    most = [min(s, max(1, round(1.5 * w))) for w, s in zip(wanted, supply)]
     for _ in range(sum(wanted) - sum(got)):
-        slack = [(s - g, -g, -i) for i, (g, s, c) in enumerate(zip(got, supply, cap)) if g < min(s, c)]
-        if not slack:
+        slack, _, i = max((m - g, -g, -k) for k, (m, g) in enumerate(zip(most, got)))
+        if slack <= 0:
             break
-        got[-max(slack)[2]] += 1
+        got[-i] += 1
     return got
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from orrery.functions import exprs as x
 from orrery.operators import joins, pack, select
-from orrery.plans.flows import chosen, published
+from orrery.plans.flows import chosen, published, sides
 from orrery.plans.registry import query
 from orrery.plans.scores import CHAPTERED_SQL, chaptered
 from orrery.sources import tables
@@ -27,10 +27,11 @@ def slide_mode(spark, d):
     return items(spark, d).select("item_id", F.when((cut > 0.05) | wide, "letterbox").otherwise("crop").alias("mode"))
 
 
-@query("SELECT source, count(*) FILTER (l.doc_id IS NOT NULL) AS labelled, count(*) AS total FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source HAVING count(*) FILTER (l.doc_id IS NOT NULL) <= 0.42 * count(*)")
+@query("SELECT source, count(*) FILTER (l.doc_id IS NOT NULL) AS labelled, count(*) AS total FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source HAVING count(*) FILTER (l.doc_id IS NOT NULL) <= 0.5 * count(*)")
 def labels_admissible(spark, d):
+    """Lists that count as labels: those of half of their source at most. Where all of it was chosen there is no choice."""
     met = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return met.groupBy("source").agg(F.count("quality").alias("labelled"), F.count(F.lit(1)).alias("total")).filter(F.col("labelled") <= 0.42 * F.col("total"))
+    return met.groupBy("source").agg(F.count("quality").alias("labelled"), F.count(F.lit(1)).alias("total")).filter(F.col("labelled") <= 0.5 * F.col("total"))
 
 
 @query("SELECT user_id, coalesce(max(taken) FILTER (event_type = 'signup') >= max(taken) FILTER (event_type = 'error'), max(taken) FILTER (event_type = 'error') IS NULL) AS fresh FROM items GROUP BY user_id")
@@ -70,21 +71,10 @@ def distinct_files(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.count_distinct(F.lower("p_name")).alias("files"))
 
 
-@query("SELECT a.vec_id, count(DISTINCT b.label) AS identities FROM embeddings a JOIN embeddings b ON b.vec_id % 7 = 0 AND a.vec_id % 7 <> 0 AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2 GROUP BY a.vec_id")
+@query("SELECT a.vec_id, count(DISTINCT b.label) AS identities FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2 GROUP BY a.vec_id")
 def identity_match(spark, d):
-    v = vectors(spark, d)
-    known = v.filter("vec_id % 7 = 0").select(F.col("label").alias("who"), F.col("embedding").alias("kv"))
-    met = v.filter("vec_id % 7 <> 0").join(known, x.dot(F.col("embedding"), F.col("kv")) >= 0.2)
-    return met.groupBy("vec_id").agg(F.count_distinct("who").alias("identities"))
-
-
-@query()
-def identity_match_whole(spark, d):
-    """identity_match of every vector against all others."""
-    v = vectors(spark, d)
-    known = v.select(F.col("vec_id").alias("k_id"), F.col("label").alias("who"), F.col("embedding").alias("kv"))
-    met = v.join(known, (F.col("vec_id") != F.col("k_id")) & (x.dot(F.col("embedding"), F.col("kv")) >= 0.2))
-    return met.groupBy("vec_id").agg(F.count_distinct("who").alias("identities"))
+    """How many identities each vector is like, against all others."""
+    return joins.owners_within(*sides(spark, d), 0.2).select(F.col("q_id").alias("vec_id"), F.col("owners").alias("identities"))
 
 
 @query("""WITH g AS (SELECT vec_id, label, unnest(range(0, 64)) AS i, unnest(embedding) AS e FROM embeddings), c AS (SELECT label, i, avg(e) AS c FROM g GROUP BY ALL),
@@ -199,4 +189,43 @@ def selection_document(spark, d):
     return rows.select("album", F.to_json(F.struct("album", F.size("slides").alias("n"), "slides")).alias("document"))
 
 
-__all__ = ["DataFrame"]
+@query("SELECT item_id, (item_id * 7 % 100) / 1000.0::DOUBLE < 0.06 AS grey FROM items")
+def grey(spark, d):
+    return items(spark, d).select("item_id", x.is_grey(F.col("item_id") * 7 % 100 / 1000.0).alias("grey"))
+
+
+@query("SELECT p_partkey, CAST(nullif(regexp_extract(CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE p_name || p_size || '_' || p_partkey || 'x' END, '(\\d+)\\D*$', 1), '') AS BIGINT) AS number FROM part")
+def last_number(spark, d):
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    name = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(F.concat("p_name", size, F.lit("_"), key, F.lit("x")))
+    return table(spark, d, "part").select("p_partkey", x.last_number(name).alias("number"))
+
+
+@query("SELECT item_id FROM items WHERE item_id % 3 = 0 EXCEPT SELECT item_id FROM items WHERE item_id % 5 = 0")
+def marks_removed(spark, d):
+    """Solo marks less those of items that a group holds."""
+    i = items(spark, d)
+    return i.filter("item_id % 3 = 0").select("item_id").subtract(i.filter("item_id % 5 = 0").select("item_id"))
+
+
+@query("SELECT album, CAST(floor(k / 10.0) AS INT) AS tx, CAST(floor(value / 10) AS INT) AS ty, count(*) AS n, round(max(score) - min(score), 6) AS spread, round(median(score), 6) AS middle FROM items GROUP BY ALL")
+def tile_grid(spark, d):
+    """Statistics of the cells of a grid."""
+    cells = items(spark, d).groupBy("album", F.floor(F.col("k") / 10.0).cast("int").alias("tx"), F.floor(F.col("value") / 10).cast("int").alias("ty"))
+    return cells.agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score") - F.min("score"), 6).alias("spread"), F.round(F.median("score"), 6).alias("middle"))
+
+
+@query("WITH trained AS (SELECT DISTINCT label FROM embeddings WHERE vec_id % 50 = 0) SELECT vec_id, CASE WHEN label IN (SELECT label FROM trained) THEN 'likeness' ELSE 'model' END AS scorer FROM embeddings")
+def self_label_guard(spark, d):
+    """An album that a model has learned from is scored by likeness to the others instead."""
+    v = vectors(spark, d).select("vec_id", "label")
+    trained = v.filter("vec_id % 50 = 0").select("label", F.lit(True).alias("_t")).distinct()
+    return v.join(trained, "label", "left").select("vec_id", F.when(F.col("_t"), "likeness").otherwise("model").alias("scorer"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_retailprice ELSE p_size::DOUBLE END AS taken, p_size % 4 <> 0 AS from_exif, CASE WHEN p_size % 8 >= 4 THEN 4000 ELSE 6000 END AS width, CASE WHEN p_size % 8 >= 4 THEN 6000 ELSE 4000 END AS height FROM part")
+def ingest_row(spark, d):
+    """Time of a file from its metadata, else its change; a rotation of 90 or 270 degrees swaps the sides."""
+    size = F.col("p_size")
+    rows = table(spark, d, "part").select("p_partkey", F.when(size % 4 != 0, size.cast("double")).alias("exif"), F.col("p_retailprice").alias("mtime"), (size % 8 + 1).alias("orientation"), F.lit(6000).alias("w"), F.lit(4000).alias("h"))
+    return tables.ingest(rows, "exif", "mtime", "orientation", "w", "h").select("p_partkey", "taken", "from_exif", "width", "height")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orrery.functions import exprs as x
-from orrery.operators import dedup, evaluate, joins, learn, pack, scoring, segment, select, temporal
+from orrery.operators import dedup, evaluate, joins, learn, pack, segment, select, temporal
 from orrery.plans.registry import query
 from orrery.plans.scores import BLOCKS_SQL, CHAPTERED_SQL, PATHS_SQL, blocks, chaptered
 from orrery.sources.tables import items, table, vectors
@@ -14,7 +14,15 @@ GAP = 120_000_000
 BITS = 14
 RUNS_SQL = f"""gaps AS (SELECT *, epoch_us(taken) - lag(epoch_us(taken)) OVER (PARTITION BY album ORDER BY taken, item_id) AS gap_us, lag(hash) OVER (PARTITION BY album ORDER BY taken, item_id) AS prev_hash, lag(item_id) OVER (PARTITION BY album ORDER BY taken, item_id) AS prev_id FROM items),
 runs AS (SELECT *, CAST(sum(CASE WHEN gap_us <= {GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY album ORDER BY taken, item_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS run FROM gaps)"""
-GROUPS_SQL = RUNS_SQL + f""", grouped AS (SELECT *, CAST(sum(CASE WHEN gap_us <= {GAP} AND bit_count(xor(hash, prev_hash)) <= {BITS} THEN 0 ELSE 1 END) OVER (PARTITION BY album ORDER BY taken, item_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS grp FROM gaps),
+#: The items' hashes have 32 bits, so half as many as of 64 may differ between duplicates.
+SAME_BITS, HASH_BITS = 4, 32
+GROUPS_SQL = RUNS_SQL + f""", linked AS (SELECT prev_id AS a, item_id AS b FROM gaps WHERE gap_us <= {GAP} AND bit_count(xor(hash, prev_hash)) <= {BITS}
+  UNION SELECT l.item_id, r.item_id FROM items l JOIN items r ON l.album = r.album AND l.item_id < r.item_id AND bit_count(xor(l.hash, r.hash)) <= {SAME_BITS}),
+ways AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked), reached AS (SELECT item_id AS node, item_id AS other FROM items UNION SELECT r.node, w.b FROM reached r JOIN ways w ON w.a = r.other),
+rooted AS (SELECT i.*, m.root FROM items i JOIN (SELECT node, min(other) AS root FROM reached GROUP BY node) m ON m.node = i.item_id),
+begun AS (SELECT *, row_number() OVER (PARTITION BY album, root ORDER BY taken, item_id) = 1 AS first FROM rooted),
+numbered AS (SELECT *, CASE WHEN first THEN sum(first::INT) OVER (PARTITION BY album ORDER BY taken, item_id ROWS UNBOUNDED PRECEDING) - 1 END AS number FROM begun),
+grouped AS (SELECT * EXCLUDE (number), CAST(max(number) OVER (PARTITION BY album, root) AS BIGINT) AS grp FROM numbered),
 bursts AS (SELECT *, count(*) OVER (PARTITION BY album, grp) AS group_size, row_number() OVER (PARTITION BY album, grp ORDER BY score DESC, value DESC, taken, item_id) - 1 AS rank_in_group FROM grouped)"""
 HASH_SQL = "hashed AS (SELECT vec_id, label, CAST(list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 2] > embedding[i + 1] THEN CAST(pow(2, 62 - i) AS BIGINT) ELSE 0 END)) AS BIGINT) AS hash FROM embeddings)"
 PAIRS_SQL = HASH_SQL + ", pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS bits FROM hashed a JOIN hashed b ON a.vec_id < b.vec_id AND bit_count(xor(a.hash, b.hash)) <= 17)"
@@ -23,7 +31,7 @@ PUBLISHED_SQL = "published AS (SELECT * FROM items WHERE item_id % 17 = 0), chos
 
 
 def bursts(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.burst_groups(items(spark, d), GAP, BITS)
+    return dedup.burst_groups(items(spark, d), GAP, BITS, same_bits=SAME_BITS, width=HASH_BITS)
 
 
 def published(spark: SparkSession, d: str) -> DataFrame:
@@ -71,15 +79,21 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(dedup.vector_hash(vectors(spark, d)), "vec_id", 17)
 
 
-@query("WITH h AS (SELECT event_id, (k * 40503) % 65536 AS hash FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id < 3000)) SELECT a.event_id AS a, b.event_id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS bits FROM h a JOIN h b ON a.event_id < b.event_id AND bit_count(xor(a.hash, b.hash)) <= 1")
-def near_dup_bands(spark, d):
-    rows = table(spark, d, "events").filter("event_id < 3000").select("event_id", (F.get_json_object("props", "$.k").cast("long") * 40503 % 65536).alias("hash"))
-    return dedup.near_pairs(rows, "event_id", 1, bits=16)
+#: Events as three takes of a scene each: hashes of 63 bits that differ in few bits within a scene.
+TAKES_SQL = "t AS (SELECT event_id, event_id // 3 % 2147483648 AS x FROM events), h AS (SELECT event_id, xor((x * 2654435761 % 2147483648) * 4294967296 + x * 2246822519 % 4294967296, event_id % 3) AS hash FROM t)"
+
+
+@query(f"WITH {TAKES_SQL} SELECT a.event_id AS a, b.event_id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS bits FROM h a JOIN h b ON a.event_id < b.event_id AND bit_count(xor(a.hash, b.hash)) <= 8")
+def near_dup_eight(spark, d):
+    """Pairs of all events at most 8 bits apart, by nine bands of seven bits."""
+    x = F.expr("event_id div 3 % 2147483648")
+    code = (x * 2654435761 % 2147483648) * 4294967296 + x * 2246822519 % 4294967296
+    return dedup.near_pairs(table(spark, d, "events").select("event_id", code.bitwiseXOR(F.col("event_id") % 3).alias("hash")), "event_id", 8)
 
 
 @query()
 def near_dup_bands_whole(spark, d):
-    """near_dup_bands over all events. Its pairs grow with the square of the events, so it has no SQL."""
+    """Pairs of all events by a hash of few values. They grow with the square of the events, so it has no SQL."""
     rows = table(spark, d, "events").select("event_id", (F.get_json_object("props", "$.k").cast("long") * 40503 % 65536).alias("hash"))
     return dedup.near_pairs(rows, "event_id", 1, bits=16)
 
@@ -103,15 +117,8 @@ def same_moment_semi(spark, d):
     return temporal.interval_semi(i.filter("event_type = 'purchase'"), i.filter("event_type = 'signup'"), "album", GAP).select("item_id")
 
 
-@query("SELECT a.album, a.item_id AS hero_id, b.item_id, abs(epoch_us(a.taken) - epoch_us(b.taken)) AS diff_us FROM items a JOIN items b ON a.album = b.album AND a.item_id <> b.item_id AND a.item_id % 40 = 0 AND abs(epoch_us(a.taken) - epoch_us(b.taken)) <= 2700000000")
+@query("SELECT a.album, a.item_id AS hero_id, b.item_id, abs(epoch_us(a.taken) - epoch_us(b.taken)) AS diff_us FROM items a JOIN items b ON a.album = b.album AND a.item_id <> b.item_id AND abs(epoch_us(a.taken) - epoch_us(b.taken)) <= 2700000000")
 def companion_candidates(spark, d):
-    i = items(spark, d)
-    return temporal.range_candidates(i.filter("item_id % 40 = 0"), i, "album", 2_700_000_000)
-
-
-@query()
-def companion_candidates_whole(spark, d):
-    """companion_candidates with every item as a hero."""
     i = items(spark, d)
     return temporal.range_candidates(i, i, "album", 2_700_000_000)
 
@@ -172,56 +179,31 @@ def spares_per_chapter(spark, d):
     return select.top_n(spare, ["album", "kind"], [F.desc("score"), "taken", "item_id"], 6).select("album", "kind", "item_id", F.col("rank").cast("long").alias("rank"))
 
 
-KNN_SQL = "s AS (SELECT q.vec_id, q.label, r.vec_id AS r_id, list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings r ON r.vec_id % 5 = 0 {} QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) DESC, r.vec_id) <= 3) SELECT vec_id, round(avg(s), 5) AS similarity FROM s GROUP BY vec_id HAVING count(*) = 3"
+KNN_SQL = "s AS (SELECT q.vec_id, q.label, r.vec_id AS r_id, list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings r ON r.vec_id <> q.vec_id {} QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) DESC, r.vec_id) <= 3) SELECT vec_id, round(avg(s), 5) AS similarity FROM s GROUP BY vec_id HAVING count(*) = 3"
 
 
-def knn(spark, d, own, refs="vec_id % 5 = 0"):
+def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors as queries and as references."""
     v = vectors(spark, d)
-    q = v.select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_album"), F.col("embedding").alias("q_v"))
-    r = v.filter(refs).select(F.col("vec_id").alias("r_id"), F.col("label").alias("r_album"), F.col("embedding").alias("r_v"))
-    return joins.knn_mean(q, r, 3, own).select(F.col("q_id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
+    return tuple(v.select(F.col("vec_id").alias(f"{c}_id"), F.col("label").alias(f"{c}_album"), F.col("embedding").alias(f"{c}_v")) for c in "qr")
 
 
 @query("WITH " + KNN_SQL.format(""))
 def knn_top3_similarity(spark, d):
-    return knn(spark, d, None)
+    return joins.knn_mean(*sides(spark, d)).select(F.col("q_id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
 
 
 @query("WITH " + KNN_SQL.format("AND q.label <> r.label"))
 def knn_leave_own_out(spark, d):
-    return knn(spark, d, ("q_album", "r_album"))
-
-
-@query()
-def knn_top3_similarity_whole(spark, d):
-    """knn_top3_similarity against all vectors."""
-    return knn(spark, d, None, "true")
-
-
-@query()
-def knn_leave_own_out_whole(spark, d):
-    """knn_leave_own_out against all vectors of other labels."""
-    return knn(spark, d, ("q_album", "r_album"), "true")
+    return joins.knn_mean(*sides(spark, d), other_album=True).select(F.col("q_id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
 
 
 @query("""WITH s AS (SELECT q.vec_id, q.label AS album, r.label AS owner, sqrt(greatest(0, 2 - 2 * list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]))) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt(greatest(0, 2 - 2 * list_dot_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]))), r.vec_id) AS n
-  FROM embeddings q JOIN embeddings r ON r.vec_id % 3 = 0 AND q.vec_id % 3 = 1),
-t AS (SELECT vec_id, album, min(dist) AS d1, max(dist) AS d2, min_by(owner, n) AS owner FROM s WHERE n <= 2 GROUP BY ALL) SELECT album AS q_album, owner, count(*) AS votes FROM t WHERE d1 < 0.98 * d2 GROUP BY ALL HAVING count(*) >= 2""")
+  FROM embeddings q JOIN embeddings r ON r.vec_id <> q.vec_id),
+t AS (SELECT vec_id, album, min(dist) AS d1, max(dist) AS d2, min_by(owner, n) AS owner FROM s WHERE n <= 2 GROUP BY ALL), v AS (SELECT album AS q_album, owner, count(*) AS votes FROM t WHERE d1 < 0.98 * d2 GROUP BY ALL HAVING count(*) >= 2)
+SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY q_album ORDER BY votes DESC, owner) <= 12""")
 def ratio_test_votes(spark, d):
-    return votes(spark, d, "vec_id % 3 = 1", "vec_id % 3 = 0")
-
-
-@query()
-def ratio_test_votes_whole(spark, d):
-    """ratio_test_votes of every vector against all others."""
-    return votes(spark, d, "true", "true")
-
-
-def votes(spark, d, queries, refs):
-    v = vectors(spark, d)
-    q = v.filter(queries).select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_album"), F.col("embedding").alias("q_v"))
-    r = v.filter(refs).select(F.col("vec_id").alias("r_id"), F.col("label").alias("r_album"), F.col("embedding").alias("r_v"))
-    return joins.ratio_votes(q, r, 0.98, 2)
+    return joins.ratio_votes(*sides(spark, d), 0.98, 2)
 
 
 @query("SELECT s_suppkey, n_name, c.n AS customers FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c ON c_nationkey = s_nationkey")
@@ -309,11 +291,15 @@ def missing_chapters(spark, d):
     return rows.select("album", "chapter").subtract(rows.filter("score > 0.97").select("album", "chapter"))
 
 
-@query("SELECT count(*) AS lost FROM (SELECT item_id FROM items EXCEPT ALL (SELECT item_id FROM items WHERE score >= 0.5 UNION ALL SELECT item_id FROM items WHERE score < 0.5))")
+BOTH_SQL = "b AS (SELECT item_id FROM items WHERE score >= 0.5 UNION ALL SELECT item_id FROM items WHERE score < 0.5)"
+
+
+@query(f"WITH {BOTH_SQL} SELECT (SELECT count(*) FROM (SELECT item_id FROM items EXCEPT ALL SELECT item_id FROM b)) AS lost, (SELECT count(*) FROM (SELECT item_id FROM b EXCEPT ALL SELECT item_id FROM items)) AS added")
 def conservation(spark, d):
+    """What a split loses, and what it adds."""
     i = items(spark, d)
-    both = i.filter("score >= 0.5").select("item_id").unionAll(i.filter("score < 0.5").select("item_id"))
-    return i.select("item_id").exceptAll(both).agg(F.count(F.lit(1)).alias("lost"))
+    own, both = i.select("item_id"), i.filter("score >= 0.5").select("item_id").unionAll(i.filter("score < 0.5").select("item_id"))
+    return own.exceptAll(both).agg(F.count(F.lit(1)).alias("lost")).crossJoin(both.exceptAll(own).agg(F.count(F.lit(1)).alias("added")))
 
 
 @query()
@@ -321,7 +307,15 @@ def day_blocks(spark, d):
     return segment.day_blocks(items(spark, d), 8)
 
 
-@query()
+@query("""WITH n AS (SELECT album, kind, count(*) AS n, count(*) FILTER (score > 0.6) AS supply FROM items GROUP BY ALL), q AS (SELECT *, n::DOUBLE * 40 / sum(n) OVER (PARTITION BY album) AS exact FROM n),
+f AS (SELECT *, floor(round(exact, 9)) AS fl, round(exact - floor(round(exact, 9)), 9) AS frac FROM q),
+w AS (SELECT album, kind, supply, CAST(fl + CASE WHEN row_number() OVER (PARTITION BY album ORDER BY frac DESC, kind) <= 40 - sum(fl) OVER (PARTITION BY album) THEN 1 ELSE 0 END AS BIGINT) AS wanted FROM f),
+l AS (SELECT album, list(kind ORDER BY kind) AS kinds, list(wanted ORDER BY kind) AS wanted, list(supply ORDER BY kind) AS supply, list(least(wanted, supply) ORDER BY kind) AS got,
+  list(least(supply, greatest(1, CAST(round_even(1.5 * wanted, 0) AS BIGINT))) ORDER BY kind) AS most, CAST(sum(wanted) - sum(least(wanted, supply)) AS BIGINT) AS short FROM w GROUP BY album),
+r AS (SELECT album, got, most, short FROM l UNION ALL SELECT album, list_transform(got, lambda g, i: CASE WHEN i = list_position(rank, list_max(rank)) THEN g + 1 ELSE g END), most, short - 1
+  FROM (SELECT *, list_transform(got, lambda g, i: (most[i] - g) * 1000000 - g) AS rank, list_max(list_transform(got, lambda g, i: most[i] - g)) AS slack FROM r) WHERE short > 0 AND slack > 0),
+e AS (SELECT album, got FROM r QUALIFY row_number() OVER (PARTITION BY album ORDER BY short) = 1)
+SELECT album, unnest(kinds) AS kind, unnest(wanted) AS wanted, unnest(supply) AS supply, unnest(e.got) AS assigned FROM l JOIN e USING (album)""")
 def quota_spill(spark, d):
     quotas = select.largest_remainder(items(spark, d).groupBy("album", "kind").agg(F.count(F.lit(1)).alias("n")), F.col("n").cast("double"), 40, "album", "kind")
     supply = items(spark, d).filter("score > 0.6").groupBy("album", "kind").agg(F.count(F.lit(1)).alias("supply"))
@@ -344,8 +338,8 @@ def slide_order(spark, d):
     return select.slide_order(chosen(spark, d), "album").select("album", "item_id", F.col("slide").cast("long").alias("slide"))
 
 
-@query("WITH " + BLOCKS_SQL + """, s AS (SELECT album, block AS b, epoch_us(taken) AS us, (width > 1.2 * height)::INT AS wide, row_number() OVER (PARTITION BY album ORDER BY block, (width > 1.2 * height)::INT, taken, item_id) AS seq FROM blocks)
-SELECT l.album, f.seq AS first, l.seq AS last, round(0.08::DOUBLE * count(*) + 0.30 * greatest(0, (max(m.us) - min(m.us)) / 2700000000.0::DOUBLE - 1) + CASE WHEN max(m.b) > min(m.b) THEN 0.8 ELSE 0 END + CASE WHEN count(*) = 1 AND max(m.wide) = 1 THEN 0.35 ELSE 0 END, 6) AS cost
+@query("WITH " + BLOCKS_SQL + """, s AS (SELECT album, block AS b, epoch_us(taken) AS us, (width > 1.2 * height)::INT AS wide, (faces >= 2 OR kind IN ('portrait', 'couple')) AS strong, row_number() OVER (PARTITION BY album ORDER BY block, (width > 1.2 * height)::INT, taken, item_id) AS seq FROM blocks)
+SELECT l.album, f.seq AS first, l.seq AS last, round(0.08::DOUBLE * count(*) + CASE WHEN count(*) > 1 THEN sum(CASE WHEN m.wide = 0 THEN 0.06::DOUBLE + CASE WHEN m.strong THEN 0.25::DOUBLE ELSE 0 END ELSE 0 END) ELSE 0 END + 0.30 * greatest(0, (max(m.us) - min(m.us)) / 2700000000.0::DOUBLE - 1) + CASE WHEN max(m.b) > min(m.b) THEN 0.8 ELSE 0 END + CASE WHEN count(*) = 1 AND max(m.wide) = 1 THEN 0.35 ELSE 0 END, 6) AS cost
 FROM s l JOIN s f ON f.album = l.album AND f.seq BETWEEN l.seq - 5 AND l.seq JOIN s m ON m.album = l.album AND m.seq BETWEEN f.seq AND l.seq GROUP BY l.album, f.seq, l.seq""")
 def segment_cost(spark, d):
     return pack.segment_cost(pack.pack_sequence(blocks(spark, d))).select("album", F.col("first").cast("long"), F.col("last").cast("long"), "cost")
@@ -357,6 +351,13 @@ def pack_slides(spark, d):
     return pack.pack_slides(pack.segment_cost(pack.pack_sequence(few)), 20)
 
 
+@query("SELECT album, item_id FROM items")
+def packed_or_left(spark, d):
+    """Every item of every album is on a slide or left out, once: the packing of whole albums with marks and groups."""
+    i = F.col("item_id")
+    return pack.pack_albums(blocks(spark, d), 20, i % 29 == 0, F.when(i % 31 == 0, F.floor(i / 62).cast("string"))).select("album", "item_id")
+
+
 @query("""WITH s AS (SELECT vec_id AS key, [0.5 + (vec_id % 7) / 4.0::DOUBLE, 0.5 + (vec_id % 5) / 3.0::DOUBLE, 0.5 + (vec_id % 3) / 2.0::DOUBLE] AS aspects, vec_id % 3 AS hero FROM embeddings),
 p(n, perm) AS (VALUES (0, [0, 1, 2]), (1, [0, 2, 1]), (2, [1, 0, 2]), (3, [1, 2, 0]), (4, [2, 0, 1]), (5, [2, 1, 0])),
 c AS (SELECT key, n, perm, round((abs(ln(aspects[perm[1] + 1] / (1.0::DOUBLE / 0.75))) + abs(ln(aspects[perm[2] + 1] / (0.5::DOUBLE / 0.5))) + abs(ln(aspects[perm[3] + 1] / (0.5::DOUBLE / 0.5)))) / 3 + CASE WHEN perm[1] = hero THEN 0 ELSE 0.35 END, 9) AS cost FROM s, p)
@@ -429,13 +430,9 @@ def leave_one_group_out(spark, d):
 
 @query()
 def monte_carlo_baseline(spark, d):
-    """Mean and deviation of the random overlap with the published items over 200 draws of 20 per album. A draw takes
-    the items of least hash of (draw, id): without replacement, the same on any partitioning."""
-    i = items(spark, d).select("album", "item_id")
-    draws = i.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("h", F.xxhash64("draw", "item_id"))
-    taken = select.top_n(draws, ["album", "draw"], ["h", "item_id"], 20)
-    hits = taken.groupBy("album", "draw").agg(F.count_if(F.col("item_id") % 17 == 0).alias("hits"))
-    return hits.groupBy("album").agg(F.avg("hits").alias("mean_hits"), F.stddev_pop("hits").alias("deviation"))
+    """Mean and deviation of the random overlap with the published items over 200 draws of 20 per album."""
+    counts = items(spark, d).groupBy("album").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("item_id") % 17 == 0).alias("good"))
+    return evaluate.overlap_by_chance(counts, "album", 20, 200)
 
 
 @query(f"WITH {PATHS_SQL}, ranked AS (SELECT c.album, c.chapter, b.item_id, b.taken, b.score, row_number() OVER (PARTITION BY c.album, c.chapter ORDER BY b.score DESC, b.taken, b.item_id) AS r FROM chapters c JOIN blocks b ON b.album = c.album AND b.block = c.block) SELECT album, chapter, item_id, score, row_number() OVER (PARTITION BY album ORDER BY taken, item_id) AS slide FROM ranked WHERE r <= 5")
@@ -446,5 +443,3 @@ def flagship(spark, d):
     best = select.top_n(rows.join(labels, ["album", "block"]), ["album", "chapter"], [F.desc("score"), "taken", "item_id"], 5)
     return select.slide_order(best, "album", hook=False).select("album", "chapter", "item_id", "score", F.col("slide").cast("long").alias("slide"))
 
-
-__all__ = ["scoring"]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.functions import exprs as x
-from orrery.operators import joins, learn, scoring, segment, select
+from orrery.operators import learn, scoring, segment, select
 from orrery.plans.registry import query
 from orrery.sources.tables import items, table, vectors
 
@@ -138,35 +138,20 @@ def cosine_pairs(spark, d):
     return a.join(b, "label").filter("a < b").select("a", "b", F.round(x.cosine(F.col("va"), F.col("vb")), 5).alias("cosine"))
 
 
-@query("""WITH c AS (SELECT label, avg(embedding[1]) AS c1, avg(embedding[2]) AS c2, avg(embedding[3]) AS c3 FROM embeddings GROUP BY label)
-SELECT vec_id, round(exp(-sqrt((pow(greatest(-5, least(5, (embedding[1] - c1) / 0.1)), 2) + pow(greatest(-5, least(5, (embedding[2] - c2) / 0.1)), 2) + pow(greatest(-5, least(5, (embedding[3] - c3) / 0.1)), 2)) / 3)), 4) AS closeness FROM embeddings JOIN c USING (label)""")
-def style_distance(spark, d):
-    v = vectors(spark, d)
-    head = [F.col("embedding")[i].cast("double") for i in range(3)]
-    centers = v.groupBy("label").agg(*(F.avg(h).alias(f"c{i}") for i, h in enumerate(head)))
-    z = [F.pow(x.clamp((h - F.col(f"c{i}")) / 0.1, -5, 5), F.lit(2)) for i, h in enumerate(head)]
-    return v.join(centers, "label").select("vec_id", F.round(F.exp(-F.sqrt((z[0] + z[1] + z[2]) / 3)), 4).alias("closeness"))
-
-
-@query("""WITH p AS (SELECT b.vec_id, b.label, r.vec_id AS r_id, sqrt(list_sum(list_transform(list_zip(b.embedding, r.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))) / 64) AS dist FROM embeddings b JOIN embeddings r ON r.vec_id % 10 = 0 AND r.vec_id <> b.vec_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, r_id) AS n FROM p) SELECT vec_id, round(exp(-avg(dist) / 0.17), 4) AS style FROM k WHERE n <= 3 GROUP BY vec_id""")
-def style_knn_score(spark, d):
-    return style_knn(spark, d, "vec_id % 10 = 0")
-
-
-@query()
-def style_knn_score_whole(spark, d):
-    """style_knn_score against all other vectors."""
-    return style_knn(spark, d, "true")
-
-
-def style_knn(spark, d, refs):
-    v = vectors(spark, d)
-    r = v.filter(refs).select(F.col("vec_id").alias("r_id"), F.col("embedding").alias("rv"))
-    gap = F.zip_with("embedding", "rv", lambda a, b: a.cast("double") - b.cast("double"))
-    met = v.join(r, F.col("vec_id") != F.col("r_id")).select("vec_id", "r_id", F.sqrt(x.dot(gap, gap) / 64).alias("dist"))
-    top = select.top_n(met, ["vec_id"], ["dist", "r_id"], 3)
-    return top.groupBy("vec_id").agg(F.round(F.exp(-F.avg("dist") / 0.17), 4).alias("style"))
+@query("""WITH g AS (SELECT vec_id, label < 5 AS good, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS e FROM embeddings),
+c AS (SELECT i, median(e) AS center, (quantile_cont(e, 0.95) - quantile_cont(e, 0.05)) / 4 AS width FROM g WHERE good GROUP BY i),
+m AS (SELECT i, greatest(median(abs(e - center)) * 1.4826, any_value(width), 0.01) AS scale, any_value(center) AS center FROM g JOIN c USING (i) WHERE good GROUP BY i),
+w AS (SELECT i, least(3, greatest(0.15, abs(median((e - center) / scale)))) AS w FROM g JOIN m USING (i) WHERE NOT good GROUP BY i),
+z AS (SELECT vec_id, good, list((e - center) / scale ORDER BY i) AS z FROM g JOIN m USING (i) GROUP BY ALL), ws AS (SELECT list(w / (SELECT avg(w) FROM w) ORDER BY i) AS w FROM w),
+p AS (SELECT q.vec_id, q.good, r.vec_id AS r_id, sqrt(list_sum(list_transform(range(1, 65), lambda k: pow(greatest(-5, least(5, r.z[k] - q.z[k])) * ws.w[k], 2))) / 64) AS dist FROM z q, z r, ws WHERE r.good),
+o AS (SELECT vec_id, avg(dist) AS d FROM (SELECT * FROM p WHERE good AND r_id <> vec_id QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, r_id) <= 3) GROUP BY vec_id),
+k AS (SELECT vec_id, avg(dist) AS d FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, r_id) <= 3) GROUP BY vec_id)
+SELECT vec_id, round(exp(-d / (SELECT median(d) FROM o)), 4) AS style FROM k""")
+def style_model_score(spark, d):
+    """How alike each vector is to those of labels 0 to 4, by a model that weighs what sets them apart from the others."""
+    v = vectors(spark, d).select("vec_id", "label", "embedding")
+    model = learn.StyleModel.fit(v.filter("label < 5"), v.filter("label >= 5"), "embedding", "vec_id")
+    return model.score(v, "embedding", "vec_id").select("vec_id", "style")
 
 
 @query("SELECT vec_id, 64 + 11 AS n, round(list_sum(embedding::DOUBLE[]) + ln(1 + vec_id % 5) + sqrt((vec_id % 9) / 100.0::DOUBLE) + 1 + (vec_id % 2) + (label % 2) + 0.5 + 0.25, 5) AS total FROM embeddings")
@@ -204,7 +189,7 @@ def subject_cut(spark, d):
 
 @query(f"WITH {RANKS_SQL} SELECT item_id, round(score + CASE WHEN faces >= 2 THEN 0.3 ELSE 0 END + CASE WHEN kind IN ('portrait', 'couple') THEN 0.15 ELSE 0 END, 6) AS strength, (faces >= 2 OR kind IN ('portrait', 'couple')) AS strong, CASE WHEN width > 1.2 * height THEN 'landscape' ELSE 'upright' END AS orientation FROM ranked")
 def strength(spark, d):
-    return items(spark, d).select("item_id", F.round(scoring.strength(F.col("score"), F.col("faces"), F.col("kind")), 6).alias("strength"), ((F.col("faces") >= 2) | F.col("kind").isin("portrait", "couple")).alias("strong"), F.when(F.col("width") > 1.2 * F.col("height"), "landscape").otherwise("upright").alias("orientation"))
+    return items(spark, d).select("item_id", F.round(scoring.strength(F.col("score"), F.col("faces"), F.col("kind")), 6).alias("strength"), ((F.col("faces") >= 2) | F.col("kind").isin("portrait", "couple")).alias("strong"), F.when(x.landscape(F.col("width"), F.col("height")), "landscape").otherwise("upright").alias("orientation"))
 
 
 @query("""WITH f AS (SELECT item_id, unnest(range(0, faces)) AS i FROM items),
@@ -221,8 +206,8 @@ def blocks(spark: SparkSession, d: str, n: int = 8) -> DataFrame:
 
 
 BLOCKS_SQL = "blocks AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY album ORDER BY taken, item_id) - 1) * 8::DOUBLE / count(*) OVER (PARTITION BY album)) AS INT) AS block FROM items)"
-FEATURES_SQL = BLOCKS_SQL + """, fr AS (SELECT *, greatest(count(*) OVER (PARTITION BY album) - 1, 1) AS n, row_number() OVER (PARTITION BY album ORDER BY value, taken, item_id) - 1 AS l, row_number() OVER (PARTITION BY album ORDER BY faces, taken, item_id) - 1 AS f, row_number() OVER (PARTITION BY album ORDER BY k, taken, item_id) - 1 AS s, row_number() OVER (PARTITION BY album ORDER BY taken, item_id) - 1 AS p FROM blocks),
-features AS (SELECT album, block, avg(l::DOUBLE / n) AS light, avg(f::DOUBLE / n) AS crowd, avg(s::DOUBLE / n) AS sky, avg((kind = 'couple')::INT) AS couples, avg((kind = 'detail')::INT) AS details, avg(p) AS place FROM fr GROUP BY ALL)"""
+FEATURES_SQL = BLOCKS_SQL + """, fr AS (SELECT *, greatest(count(*) OVER (PARTITION BY album) - 1, 1) AS n, row_number() OVER (PARTITION BY album ORDER BY value, taken, item_id) - 1 AS l, row_number() OVER (PARTITION BY album ORDER BY faces, taken, item_id) - 1 AS f, row_number() OVER (PARTITION BY album ORDER BY k, taken, item_id) - 1 AS s, (row_number() OVER (PARTITION BY album ORDER BY taken, item_id) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY album) - 1, 1) AS p FROM blocks),
+features AS (SELECT album, block, avg(l::DOUBLE / n) AS light, avg(f::DOUBLE / n) AS crowd, avg(s::DOUBLE / n) AS sky, avg((kind = 'couple' AND coalesce(faces, 0) <= 3)::INT) AS couples, avg((kind = 'detail')::INT) AS details, avg(p) AS place FROM fr GROUP BY ALL)"""
 
 
 @query(f"WITH {FEATURES_SQL} SELECT album, block, round(light, 6) AS light, round(crowd, 6) AS crowd, round(sky, 6) AS sky, round(couples, 6) AS couples, round(details, 6) AS details, round(place, 6) AS place FROM features")
@@ -230,7 +215,8 @@ def block_features(spark, d):
     return segment.block_features(blocks(spark, d)).select("album", "block", *(F.round(c, 6).alias(c) for c in ("light", "crowd", "sky", "couples", "details", "place")))
 
 
-AFFINITY_SQL = FEATURES_SQL + """, affinity AS (SELECT album, block, n, chapter, round(CASE n WHEN 0 THEN 0.6 * details + 0.4 * (1 - crowd) WHEN 1 THEN 0.5 * light + 0.5 * couples WHEN 2 THEN 0.7 * couples + 0.3 * sky ELSE 0.8 * crowd + 0.2 * (1 - light) END, 6) AS affinity
+AFFINITY_SQL = FEATURES_SQL + """, affinity AS (SELECT album, block, n, chapter, round(CASE n WHEN 0 THEN 1.2::DOUBLE * (1 - sky) + details + 0.8::DOUBLE * (1 - crowd) + (1 - place) WHEN 1 THEN 1.4::DOUBLE * crowd + 0.6::DOUBLE * light + 0.5::DOUBLE * (1 - details)
+    WHEN 2 THEN 1.6::DOUBLE * couples + sky + 0.8::DOUBLE * (1 - crowd) + 0.6::DOUBLE * light ELSE 1.6::DOUBLE * (1 - light) + 0.9::DOUBLE * crowd + 0.8::DOUBLE * place END, 6) AS affinity
   FROM features, (VALUES (0, 'start'), (1, 'ceremony'), (2, 'portraits'), (3, 'party')) c(n, chapter))"""
 
 
@@ -277,5 +263,3 @@ def largest_remainder(spark, d):
     units = table(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
     return select.largest_remainder(units, F.col("n").cast("double"), 100, "c_mktsegment", "c_nationkey").select("c_mktsegment", "c_nationkey", F.col("quota").cast("long").alias("quota"))
 
-
-__all__ = ["Window", "joins"]

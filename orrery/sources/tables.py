@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 EXTENSIONS = ["jpg", "jpeg", "png", "tif", "tiff", "webp", "heic"]
@@ -46,6 +48,14 @@ def scan_files(spark: SparkSession, path: str, extensions: list[str] | None = No
     return files.filter(keep)
 
 
+def ingest(rows: DataFrame, exif: str, mtime: str, orientation: str, width: str, height: str) -> DataFrame:
+    """taken (from metadata, else the time of change), from_exif, and width and height as shown: orientations 5 to 8 lie on
+    their side."""
+    side = F.coalesce(F.col(orientation) >= 5, F.lit(False))
+    w, h = F.col(width), F.col(height)
+    return rows.withColumns({"taken": F.coalesce(exif, mtime), "from_exif": F.col(exif).isNotNull(), "width": F.when(side, h).otherwise(w), "height": F.when(side, w).otherwise(h)})
+
+
 def stable_key(rel: Column) -> Column:
     """64-bit key of a relative path, as hexadecimal text."""
     return F.substring(F.sha2(rel.cast("binary"), 256), 1, 16)
@@ -65,8 +75,33 @@ def _has(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def write_index(df: DataFrame, path: str, version: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+def write_index(df: DataFrame, path: str, version: int, keep: bool = False) -> None:
+    """Replaces the index of a version. keep: what was there stays as <path>/before, in place of what was there."""
+    spark, where = df.sparkSession, f"{path}/version={version}"
+    jvm = spark._jvm
+    new, old, now = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}/_new", f"{path}/before", where))
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(f"{path}/_new")  # whole before anything is replaced; df may read the old one
+    if fs.exists(now):
+        if keep:
+            fs.delete(old, True)
+            fs.rename(now, old)
+        else:
+            fs.delete(now, True)
+    fs.rename(new, now)
+
+
+def save_model(spark: SparkSession, path: str, version: int, **parameters: object) -> None:
+    """A model's parameters (numbers, lists, names) as one JSON text with its version."""
+    text = json.dumps({"version": version, **parameters}, sort_keys=True)
+    write_index(spark.createDataFrame([(text,)], "model string"), path, version, keep=True)
+
+
+def load_model(spark: SparkSession, path: str, version: int) -> dict | None:
+    """None where there is no model or one of another version: it must be trained anew."""
+    rows = read_index(spark, path, version, T.StructType([T.StructField("model", T.StringType())])).collect()
+    model = json.loads(rows[0]["model"]) if rows else None
+    return model if model and model.pop("version") == version else None
 
 
 def split_changed(found: DataFrame, known: DataFrame, key: str = "rel") -> tuple[DataFrame, DataFrame]:

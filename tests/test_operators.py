@@ -1,5 +1,6 @@
 """Properties of the sequential operators, on seeded items."""
 
+import itertools
 import random
 
 import pandas as pd
@@ -177,3 +178,78 @@ def test_nearest_time_ties_and_ends(spark):
     right = at([("x", 10, "2024-01-01 00:00:00"), ("x", 11, "2024-01-01 00:00:10"), ("x", 12, "2024-01-01 00:00:10")], "r_id")
     got = {r.l_id: r.r_id for r in temporal.asof_nearest(left.withColumnRenamed("l", "l_id"), right, "g", "l_id", "r_id").collect()}
     assert got == {1: 10, 2: 11, 3: 10, 4: None, 5: 11}
+
+
+def packable(n, seed, share=0.4):
+    rng = random.Random(seed)
+    return [{"id": i, "block": i * 4 // n, "wide": rng.random() > share, "us": i * 240_000_000, "score": round(rng.uniform(0.3, 1), 3), "strong": rng.random() < 0.3} for i in range(n)]
+
+
+def brute_packing(units, fixed, solo, slides):
+    """Least cost over all ways to cut the units."""
+    best = float("inf")
+    for cuts in itertools.product((0, 1), repeat=len(units) - 1):
+        at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(units)]
+        if len(at) - 1 > slides:
+            continue
+        cost = 0.0
+        for a, b in zip(at, at[1:]):
+            if any(fixed[a:b]):
+                cost += 0.0 if b - a == 1 else float("inf")
+            else:
+                cost += pack.piece_cost([x for u in units[a:b] for x in u], solo)
+        best = min(best, cost)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_partition_against_all_cuts(seed):
+    rows = packable(10, seed)
+    units, fixed = [[x] for x in rows[:7]] + [rows[7:9], [rows[9]]], [False] * 7 + [True, False]
+    for slides in (2, 4, 9):
+        plan = pack.partition(units, fixed, {2}, slides)
+        want = brute_packing(units, fixed, {2}, slides)
+        if plan is None:
+            assert want == float("inf")
+            continue
+        got = sum(0.0 if p == rows[7:9] else pack.piece_cost(p, {2}) for p in plan)
+        assert abs(got - want) < 1e-9 and [x for p in plan for x in p] == rows
+
+
+def test_pack_album_relaxes_in_order():
+    rows = packable(55, 1)
+    plan, left = pack.pack_album(rows, {3, 9}, {20: "a", 21: "a", 22: "a", 40: "b"}, 20)
+    assert not left and len(plan) <= 20 and sorted(x["id"] for p in plan for x in p) == list(range(55))
+    assert [x["id"] for x in next(p for p in plan if any(x["id"] == 3 for x in p))] == [3]
+    assert {x["id"] for x in next(p for p in plan if any(x["id"] == 21 for x in p))} == {20, 21, 22}
+    rows = packable(140, 4, 1.0)  # over what 20 slides hold: the weakest go, marks and groups are released
+    plan, left = pack.pack_album(rows, {1, 2}, {30: "a", 31: "a"}, 20)
+    assert len(left) == 20 and {x["id"] for x in left} == {x["id"] for x in sorted(rows, key=lambda x: x["score"])[:20]}
+    assert sum(map(len, plan)) == 120 and all(len(p) == 6 for p in plan)
+    assert pack.pack_album([], set(), {}, 3) == ([], [])
+
+
+def test_fold_orders_and_their_replay():
+    names = {f"n{i}" for i in range(9)}
+    chosen = [{"name": f"n{i}", "solo": False, "group": None, "template": None} for i in range(6)]
+    slides = {1: ["n0"], 2: ["n1", "n2"], 3: ["n3"], 4: ["n4", "n5"]}
+    lines = ["# note", "1 out", "2 solo", "3 join 4", "4 template pair", "9 out", "2 N7", "slides 12", "slides 99", "+ n8", "- N3", "+ zz", "what is this thing", "3 template grid"]
+    rows, wanted, said, out = pack.fold_orders(lines, chosen, slides, names)
+    by = {x["name"]: x for x in rows}
+    assert set(by) == {"n7", "n2", "n4", "n5", "n8"} and wanted == 12
+    assert by["n7"]["solo"] and by["n2"]["solo"] and by["n4"]["group"] == by["n5"]["group"] is not None and by["n4"]["template"] == "pair"
+    assert "9: no such slide" in said and "no item zz" in said and any("not understood" in x for x in said)
+    assert out[0] == "# note" and all(x.startswith(pack.APPLIED) for x in out[1:])
+    assert pack.fold_orders(out, rows, slides, names) == (rows, None, [], out)
+
+
+def test_models_and_indexes_keep_the_one_before(spark, tmp_path):
+    path = f"file://{tmp_path}/model"
+    assert tables.load_model(spark, path, 1) is None
+    tables.save_model(spark, path, 1, weights=[1.0, 2.5], albums=["a"])
+    tables.save_model(spark, path, 1, weights=[3.0], albums=[])
+    assert tables.load_model(spark, path, 1) == {"weights": [3.0], "albums": []} and tables.load_model(spark, path, 2) is None
+    assert "2.5" in spark.read.parquet(f"{path}/before").first().model
+    again = spark.read.parquet(f"{path}/version=1")
+    tables.write_index(again.union(again), path, 1)  # reads what it replaces
+    assert spark.read.parquet(f"{path}/version=1").count() == 2

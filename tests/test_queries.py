@@ -1,6 +1,5 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
-import collections
 import datetime
 import glob
 import os
@@ -10,7 +9,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from orrery.operators import joins
 from orrery.plans import catalog
+from orrery.plans.flows import sides
 
 DIR = "/root/testdata/sf0.001"
 
@@ -76,27 +77,9 @@ def test_near_dup_bands_of_all_events(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want and max(b for _, b, _ in want) > 3000
 
 
-def test_searches_reach_all_rows(spark):
-    """The whole searches against numpy over all vectors, and companions of every item."""
-    v = spark.read.parquet(f"{DIR}/embeddings.parquet").orderBy("vec_id").collect()
-    ids, label = [r.vec_id for r in v], np.array([r.label for r in v])
-    e = np.array([r.embedding for r in v], float)
-    dot = e @ e.T
-    run = lambda name: {r.vec_id: r for r in catalog.QUERIES[name](spark, DIR).collect()}
-    top, own, style, who = map(run, ("knn_top3_similarity_whole", "knn_leave_own_out_whole", "style_knn_score_whole", "identity_match_whole"))
-    gap = np.sqrt(np.maximum(0, ((e[:, None] - e[None]) ** 2).sum(2) / 64))
-    np.fill_diagonal(gap, np.inf)
-    for i, k in enumerate(ids):
-        assert abs(top[k].similarity - np.sort(dot[i])[-3:].mean()) < 2e-5
-        assert abs(own[k].similarity - np.sort(dot[i][label != label[i]])[-3:].mean()) < 2e-5
-        assert abs(style[k].style - np.exp(-np.sort(gap[i])[:3].mean() / 0.17)) < 2e-4
-    near = {k: len(set(label[(dot[i] >= 0.2) & (np.arange(len(ids)) != i)])) for i, k in enumerate(ids)}
-    assert {k: r.identities for k, r in who.items()} == {k: n for k, n in near.items() if n}
-    far = np.sqrt(np.maximum(0, 2 - 2 * dot))
-    np.fill_diagonal(far, np.inf)
-    votes = collections.Counter((label[i], label[np.argmin(far[i])]) for i in range(len(ids)) if np.sort(far[i])[0] < 0.98 * np.sort(far[i])[1])
-    assert {(r.q_album, r.owner): r.votes for r in catalog.QUERIES["ratio_test_votes_whole"](spark, DIR).collect()} == {k: n for k, n in votes.items() if n >= 2}
-    found = catalog.QUERIES["companion_candidates_whole"](spark, DIR).collect()
-    pairs = {(r.hero_id, r.item_id) for r in found}
-    assert len(found) == len(pairs) and {(b, a) for a, b in pairs} == pairs and any(h % 40 for h, _ in pairs)
-    assert any(r.hero_id % 40 for r in catalog.QUERIES["companions"](spark, DIR).collect())
+def test_blocks_of_references_agree(spark):
+    """The nearest references are the same whether they come in one block or in many."""
+    q, r = sides(spark, DIR)
+    one, many = (sorted(map(tuple, joins.nearest(q, r, 3, np.negative, size=s).select("q_id", "r_id", "rank").collect())) for s in (50_000, 17))
+    assert one == many and len(one) == 3 * q.count()
+    assert joins.nearest(q, r.limit(0), 3, np.negative).count() == 0
