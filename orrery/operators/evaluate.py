@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from orrery.functions.exprs import micros
+
 
 def auc(df: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame:
     """Rank AUC with ties at their mean rank; null where a class is empty. Equal scores are counted first, so ranks are
@@ -20,6 +22,24 @@ def auc(df: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame
     return total.select(*by, "positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("_wins") / (F.col("positives") * F.col("negatives"))).alias("auc"))
 
 
+def weighted_auc(aucs: DataFrame, by: list[str]) -> DataFrame:
+    """Mean of the groups' AUC by their positives; groups without one don't count."""
+    there = aucs.filter(F.col("auc").isNotNull())
+    return there.groupBy(*by).agg((F.sum(F.col("auc") * F.col("positives")) / F.sum("positives")).alias("auc"), F.count(F.lit(1)).alias("groups"))
+
+
+def moments_by_chance(items: DataFrame, size: Column, album: str, gap_us: int) -> DataFrame:
+    """items with exact_chance and moment_chance: the probabilities that a random choice of `size` items of the album holds
+    the item, and one within the gap of it. Of n items c are that near, so the second is 1 less the product of
+    (n - c - i) / (n - i) over the draws."""
+    whole = Window.partitionBy(album)
+    near = whole.orderBy("_us").rangeBetween(-gap_us, gap_us)
+    rows = items.withColumn("_us", micros("taken")).withColumns({"_n": F.count(F.lit(1)).over(whole), "_c": F.count("_us").over(near), "_k": size})
+    miss = F.aggregate(F.sequence(F.lit(0), F.col("_k").cast("int") - 1), F.lit(1.0), lambda a, i: a * F.greatest(F.col("_n") - F.col("_c") - i, F.lit(0)) / (F.col("_n") - i))
+    chance = {"exact_chance": F.col("_k") / F.col("_n"), "moment_chance": F.when(F.col("_k") > 0, 1 - miss).otherwise(0.0)}
+    return rows.withColumns(chance).drop("_us", "_n", "_c", "_k")
+
+
 def distribution(df: DataFrame, by: str, value: str) -> DataFrame:
     counts = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(by)))

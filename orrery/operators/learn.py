@@ -33,31 +33,46 @@ def standardized(df: DataFrame, features: str, size: int) -> tuple[DataFrame, li
     return df.withColumn("z", F.zip_with(F.zip_with(F.col(features), m, lambda a, b: a - b), s, lambda a, b: a / b)), mean, scale
 
 
+def fits(z: DataFrame, label: str, penalties: list[float]) -> list[LogisticRegressionModel]:
+    """A class-balanced logistic regression for each L2 penalty over standardised rows, which are made once for all; the
+    gradient is summed by the executors."""
+    n, p = z.agg(F.count(F.lit(1)), F.count_if(F.col(label))).first()
+    weight = F.when(F.col(label), n / (2 * max(p, 1))).otherwise(n / (2 * max(n - p, 1)))
+    rows = z.select(array_to_vector("z").alias("features"), F.col(label).cast("double").alias("label"), weight.alias("weight")).persist()
+    try:
+        return [LogisticRegression(regParam=l2 / max(n, 1), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=200, tol=1e-10).fit(rows) for l2 in penalties]
+    finally:
+        rows.unpersist()
+
+
 def train_preference(df: DataFrame, features: str, label: str, size: int, penalty: float = 10_000.0) -> tuple[LogisticRegressionModel, list[float], list[float]]:
-    """Class-balanced logistic regression with an L2 penalty; the gradient is summed by the executors."""
     z, mean, scale = standardized(df, features, size)
-    n, p = df.agg(F.count(F.lit(1)), F.count_if(F.col(label))).first()
-    weight = F.when(F.col(label), n / (2 * max(p, 1))).otherwise(n / (2 * max(n - p, 1)))
-    rows = z.select(array_to_vector("z").alias("features"), F.col(label).cast("double").alias("label"), weight.alias("weight"))
-    model = LogisticRegression(regParam=penalty / max(n, 1), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=200, tol=1e-10).fit(rows)
-    return model, mean, scale
+    return fits(z, label, [penalty])[0], mean, scale
 
 
-def score_preference(df: DataFrame, features: str, model: LogisticRegressionModel, mean: list[float], scale: list[float]) -> DataFrame:
+def preference(features: str, model: LogisticRegressionModel, mean: list[float], scale: list[float]) -> Column:
     """The probability as one array expression."""
     w = F.array(*(F.lit(float(c) / s) for c, s in zip(model.coefficients, scale)))
     base = float(model.intercept) - sum(float(c) * m / s for c, m, s in zip(model.coefficients, mean, scale))
-    return df.withColumn("preference", sigmoid(dot(F.col(features), w) + base))
+    return sigmoid(dot(F.col(features), w) + base)
+
+
+def score_preference(df: DataFrame, features: str, model: LogisticRegressionModel, mean: list[float], scale: list[float]) -> DataFrame:
+    return df.withColumn("preference", preference(features, model, mean, scale))
 
 
 def leave_one_out(df: DataFrame, group: str, features: str, label: str, size: int, penalties: list[float]) -> DataFrame:
-    """Held-out scores of every group for every penalty: one distributed fit for each pair."""
-    out: DataFrame | None = None
-    for g in [r[0] for r in df.select(group).distinct().orderBy(group).collect()]:
-        for p in penalties:
-            model = train_preference(df.filter(F.col(group) != g), features, label, size, p)
-            part = score_preference(df.filter(F.col(group) == g), features, *model).withColumn("penalty", F.lit(p))
-            out = part if out is None else out.unionByName(part)
+    """Held-out scores of every group for every penalty. A group without positives, or without any outside it, has none.
+    The driver holds one row for each group, whose fits share one pass of standardisation and one of scoring."""
+    counts = df.groupBy(group).agg(F.count_if(F.col(label)).alias("p")).orderBy(group).collect()
+    total = sum(r["p"] for r in counts)
+    out = df.limit(0).withColumns({"penalty": F.lit(0.0), "preference": F.lit(0.0)})
+    for g, p in counts:
+        if g is None or not 0 < p < total:
+            continue
+        z, mean, scale = standardized(df.filter(F.col(group) != g), features, size)
+        scores = [F.struct(F.lit(l2).alias("penalty"), preference(features, m, mean, scale).alias("preference")) for l2, m in zip(penalties, fits(z, label, penalties))]
+        out = out.unionByName(df.filter(F.col(group) == g).withColumn("_s", F.explode(F.array(*scores))).select(*df.columns, "_s.*"))
     return out
 
 
@@ -67,7 +82,7 @@ def training_moments(df: DataFrame, album: str, grp: str, elected: Column) -> Da
     return df.withColumns({"label": F.max(F.when(elected, 1).otherwise(0)).over(Window.partitionBy(album, grp)), "_r": F.row_number().over(order)}).filter("_r = 1").drop("_r")
 
 
-__all__ = ["feature_vector", "leave_one_out", "score_preference", "standardized", "train_preference", "training_moments", "vector_to_array"]
+__all__ = ["feature_vector", "fits", "leave_one_out", "preference", "score_preference", "standardized", "train_preference", "training_moments", "vector_to_array"]
 
 
 @dataclass

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orrery.functions import exprs as x
-from orrery.operators import dedup, evaluate, joins, learn, pack, segment, select, temporal
+from orrery.operators import collage, dedup, evaluate, joins, learn, pack, segment, select, temporal
 from orrery.plans.registry import query
 from orrery.plans.scores import BLOCKS_SQL, CHAPTERED_SQL, PATHS_SQL, blocks, chaptered
 from orrery.sources.tables import items, table, vectors
@@ -443,3 +443,40 @@ def flagship(spark, d):
     best = select.top_n(rows.join(labels, ["album", "block"]), ["album", "chapter"], [F.desc("score"), "taken", "item_id"], 5)
     return select.slide_order(best, "album", hook=False).select("album", "chapter", "item_id", "score", F.col("slide").cast("long").alias("slide"))
 
+
+@query(f"""WITH {PUBLISHED_SQL}, near AS (SELECT album, item_id, count(*) OVER (PARTITION BY album ORDER BY epoch_us(taken) RANGE BETWEEN {GAP} PRECEDING AND {GAP} FOLLOWING) AS c, count(*) OVER (PARTITION BY album) AS n FROM items),
+k AS (SELECT album, count(*) AS k FROM chosen GROUP BY album), m AS (SELECT album, k, n, 1 - list_product(list_transform(range(k), lambda i: greatest(n - c - i, 0)::DOUBLE / (n - i))) AS miss FROM published JOIN near USING (album, item_id) JOIN k USING (album))
+SELECT album, round(max(k::DOUBLE / n), 6) AS exact_chance, round(avg(miss), 6) AS moment_chance FROM m GROUP BY album""")
+def overlap_chance(spark, d):
+    """What the overlap of chosen and published items would be for as many chosen at random."""
+    rows = items(spark, d).select("album", "item_id", "taken")
+    size = chosen(spark, d).groupBy("album").agg(F.count(F.lit(1)).alias("k"))
+    met = evaluate.moments_by_chance(rows.join(size, "album"), F.col("k"), "album", GAP).join(published(spark, d).select("item_id"), "item_id", "left_semi")
+    return met.groupBy("album").agg(F.round(F.max("exact_chance"), 6).alias("exact_chance"), F.round(F.avg("moment_chance"), 6).alias("moment_chance"))
+
+
+@query("""WITH c AS (SELECT doc_id % 20 AS grp, n_chars AS score, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
+w AS (SELECT *, p * (coalesce(sum(n) OVER (PARTITION BY grp ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS wins FROM c),
+a AS (SELECT sum(p) AS p, sum(wins) / sum(n) AS won FROM w GROUP BY grp HAVING sum(p) > 0 AND sum(n) > 0) SELECT round(sum(won) / sum(p), 6) AS auc, count(*) AS groups FROM a""")
+def weighted_auc(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 20).alias("grp")).join(table(spark, d, "labels"), "doc_id")
+    return evaluate.weighted_auc(evaluate.auc(rows, "n_chars", F.col("quality") == 1, ["grp"]), []).withColumn("auc", F.round("auc", 6))
+
+
+@query()
+def album_sweep(spark, d):
+    """Mean held-out AUC of each penalty, albums weighted by their positives."""
+    rows = vectors(spark, d).select("vec_id", (F.col("label") % 3).alias("album"), F.transform("embedding", lambda e: e.cast("double")).alias("f"), (F.col("vec_id") % 4 == 0).alias("y"))
+    out = learn.leave_one_out(rows, "album", "f", "y", 64, [1000.0, 3000.0, 10000.0, 30000.0])
+    return evaluate.weighted_auc(evaluate.auc(out, "preference", F.col("y"), ["penalty", "album"]), ["penalty"])
+
+
+@query()
+def collage_plan(spark, d):
+    """Slides of each day, single or with companions of their chapter."""
+    slides = select.slide_order(chosen(spark, d), "album").select("item_id", "slide")
+    rows = chaptered(spark, d).join(slides, "item_id", "left")
+    strength = F.col("score") + F.when(F.col("kind").isin("portrait", "couple"), 0.15).otherwise(0.0)
+    rows = rows.select("album", "item_id", "chapter", x.micros("taken").alias("us"), (F.col("width") / F.col("height")).alias("aspect"), "kind", "score", strength.alias("strength"), F.col("hash").alias("code"), "slide", (F.col("item_id") % 11 == 0).alias("solo"))
+    rules = collage.Rules({c: 2 for c in segment.CHAPTERS}, {c: ["lead", "grid", "pair", "stack"] for c in segment.CHAPTERS}, {"grid": 2}, {"pair": {"portrait", "couple"}})
+    return collage.plan_albums(rows, rules)
