@@ -445,8 +445,8 @@ def flagship(spark, d):
 
 
 @query(f"""WITH {PUBLISHED_SQL}, near AS (SELECT album, item_id, count(*) OVER (PARTITION BY album ORDER BY epoch_us(taken) RANGE BETWEEN {GAP} PRECEDING AND {GAP} FOLLOWING) AS c, count(*) OVER (PARTITION BY album) AS n FROM items),
-k AS (SELECT album, count(*) AS k FROM chosen GROUP BY album), m AS (SELECT album, k, n, 1 - list_product(list_transform(range(k), lambda i: greatest(n - c - i, 0)::DOUBLE / (n - i))) AS miss FROM published JOIN near USING (album, item_id) JOIN k USING (album))
-SELECT album, round(max(k::DOUBLE / n), 6) AS exact_chance, round(avg(miss), 6) AS moment_chance FROM m GROUP BY album""")
+drawn AS (SELECT album, count(*) AS size FROM chosen GROUP BY album), m AS (SELECT album, size, n, 1 - list_product(list_transform(range(size), lambda i: greatest(n - c - i, 0)::DOUBLE / (n - i))) AS miss FROM published JOIN near USING (album, item_id) JOIN drawn USING (album))
+SELECT album, round(max(size::DOUBLE / n), 6) AS exact_chance, round(avg(miss), 6) AS moment_chance FROM m GROUP BY album""")
 def overlap_chance(spark, d):
     """What the overlap of chosen and published items would be for as many chosen at random."""
     rows = items(spark, d).select("album", "item_id", "taken")
