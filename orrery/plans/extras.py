@@ -77,6 +77,13 @@ def identity_match(spark, d):
     return joins.owners_within(*sides(spark, d), 0.2).select(F.col("q_id").alias("vec_id"), F.col("owners").alias("identities"))
 
 
+@query()
+def identity_groups(spark, d):
+    """Identities among the references of each owner, an owner having twenty."""
+    v = vectors(spark, d).select("vec_id", F.floor(F.col("vec_id") / 20).alias("owner"), "embedding")
+    return joins.identities(v, "owner", "vec_id", "embedding", 0.2)
+
+
 @query("""WITH g AS (SELECT vec_id, label, unnest(range(0, 64)) AS i, unnest(embedding) AS e FROM embeddings), c AS (SELECT label, i, avg(e) AS c FROM g GROUP BY ALL),
 r AS (SELECT vec_id, g.i, round(abs(e - c), 6) AS gap FROM g JOIN c ON g.label = c.label AND g.i = c.i) SELECT vec_id, i::INT AS feature, gap FROM r QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY gap DESC, i) <= 4""")
 def style_explain(spark, d):

@@ -83,3 +83,17 @@ def test_blocks_of_references_agree(spark):
     one, many = (sorted(map(tuple, joins.nearest(q, r, 3, np.negative, size=s).select("q_id", "r_id", "rank").collect())) for s in (50_000, 17))
     assert one == many and len(one) == 3 * q.count()
     assert joins.nearest(q, r.limit(0), 3, np.negative).count() == 0
+
+
+def test_identities_one_after_another(spark):
+    """Each vector joins the first group that has one like it, as a plain loop over groups finds."""
+    got = {(r.owner, r.vec_id): r.identity for r in catalog.QUERIES["identity_groups"](spark, DIR).collect()}
+    rows = duckdb.execute(f"SELECT vec_id, embedding FROM '{DIR}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    groups = {}
+    for i, v in rows:
+        mine = groups.setdefault(i // 20, [])
+        place = next((n for n, g in enumerate(mine) if any(np.dot(v, w) >= 0.2 for w in g)), len(mine))
+        mine[place:] = [[*mine[place], v], *mine[place + 1 :]] if place < len(mine) else [[v]]
+        assert got.pop((i // 20, i)) == place
+    assert not got
+    assert joins.first_alike(np.zeros((0, 3)), 0.5) == []
