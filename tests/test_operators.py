@@ -100,6 +100,69 @@ def test_bands_equal_all_pairs(spark):
     assert got == want and want
 
 
+def test_groups_of_albums_without_joined_pairs(spark):
+    """Groups as a plain search finds them: with copies, ids in two albums, rows without an id, hash or album; no pair of rows
+    is ever joined."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(32) for _ in range(40)]
+    rows = []
+    for i in range(300):
+        album = rng.choice(["a", "b", "c", None])
+        code = rng.choice(base) ^ sum(1 << b for b in rng.sample(range(32), rng.randrange(7)))
+        rows.append((album, i if i % 23 else i // 23 % 2, i * 7, None if i % 17 == 0 else code, rng.random(), rng.random()))
+    df = spark.createDataFrame(rows, "album string, item_id long, s long, hash long, score double, value double").withColumn("taken", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, s)"))
+    out = dedup.burst_groups(df, 20_000_000, 10, same_bits=4, width=32).select("album", "s", "grp", "group_size", "rank_in_group")
+    near = {i: {i} for _, i, *_ in rows}
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[1])):
+        by.setdefault(r[0], []).append(r)
+    for album, mine in by.items():
+        for n, x in enumerate(mine):
+            for k, y in enumerate(mine[:n]):
+                if x[3] is not None and y[3] is not None:
+                    bits = (x[3] ^ y[3]).bit_count()
+                    if album is not None and bits <= 4 or k == n - 1 and x[2] - y[2] <= 20 and bits <= 10:
+                        near[x[1]].add(y[1])
+                        near[y[1]].add(x[1])
+    root = {}
+    for i in sorted(near):
+        todo = [i]
+        while todo:
+            k = todo.pop()
+            if k not in root:
+                root[k] = i
+                todo += near[k]
+    want = set()
+    for album, mine in by.items():
+        place, size = {}, {}
+        for x in mine:
+            place.setdefault(root[x[1]], len(place))
+            size[root[x[1]]] = size.get(root[x[1]], 0) + 1
+        for g in place:
+            for rank, x in enumerate(sorted((x for x in mine if root[x[1]] == g), key=lambda x: (-x[4], -x[5], x[2], x[1]))):
+                want.add((album, x[2], place[g], size[g], rank))
+    assert set(map(tuple, out.collect())) == want and max(w[3] for w in want) > 5
+    alone = df.filter("album is not null and item_id > 1")
+    assert "Join" not in dedup.burst_groups(alone, 20_000_000, 10, same_bits=4, width=32)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_near_codes_in_blocks(spark):
+    """Codes that are near each other, once each pair, in one block or in many, with bits above those in bands."""
+    rng = random.Random(7)
+    codes = {rng.getrandbits(24) for _ in range(60)}
+    codes |= {c ^ 1 << rng.randrange(24) ^ 1 << rng.randrange(24) for c in codes} | {c | 1 << 40 for c in list(codes)[:9]}
+    want = {(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= 2}
+    df = spark.createDataFrame([(c,) for c in codes], "hash long")
+    for size in (dedup.CODES, 50):
+        got = [tuple(sorted(r)) for r in dedup.near_codes(df, 2, 24, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+    assert dedup.near_codes(df.limit(0), 2, 24).count() == 0
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate([*codes, *list(codes)[:5]])] + [(-1, None)], "id long, hash long")
+    ids = {(r.id, r.hash) for r in rows.filter("hash is not null").collect()}
+    pairs = {(i, j, (a ^ b).bit_count()) for i, a in ids for j, b in ids if i < j and (a ^ b).bit_count() <= 2}
+    assert {tuple(r) for r in dedup.near_pairs(rows, "id", 2, bits=24).collect()} == pairs
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i != 30] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in dedup.components(edges).collect()}
