@@ -316,3 +316,31 @@ def test_models_and_indexes_keep_the_one_before(spark, tmp_path):
     again = spark.read.parquet(f"{path}/version=1")
     tables.write_index(again.union(again), path, 1)  # reads what it replaces
     assert spark.read.parquet(f"{path}/version=1").count() == 2
+
+
+@pytest.mark.parametrize("size", [256, 7])
+def test_companions_as_a_plain_search_takes_them(size):
+    import numpy as np
+
+    rng = random.Random(9)
+    n = 240
+    us, ids = np.array([rng.randrange(3000) for _ in range(n)]), np.array(rng.sample(range(10_000), n))
+    codes = np.array([rng.choice([0, 2**64 - 1, rng.getrandbits(64)]) for _ in range(n)], np.uint64)
+    score, pool = np.array([rng.randrange(9) / 9 for _ in range(n)]), np.array([rng.random() < 0.4 for _ in range(n)])
+    want = {}
+    for i in range(n):
+        taken = []
+        for j in sorted((j for j in range(n) if pool[j] and j != i and abs(us[i] - us[j]) <= 200), key=lambda j: (-score[j], ids[j])):
+            if len(taken) < 3 and all((int(codes[j]) ^ int(codes[k])).bit_count() >= 30 for k in [i, *taken]):
+                taken.append(j)
+        if len(taken) == 3:
+            want[ids[i]] = [ids[j] for j in taken]
+    heroes, got = pack.album_companions(us, ids, codes, score, pool, 3, 200, 30, size)
+    assert {h: list(t) for h, t in zip(heroes, got)} == want and 50 < len(want) < n
+
+
+def test_companions_join_no_pairs(spark):
+    from orrery.plans import catalog
+
+    out = catalog.QUERIES["companions"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and set(out.columns) == {"album", "hero_id", "item_id", "place"}
