@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from datetime import datetime
 
 import pandas as pd
 import pytest
@@ -90,6 +91,28 @@ def test_gap_and_hamming_edges(spark):
     assert edges == {(1, 2), (3, 5)}
 
 
+def test_ranges_hold_all_candidates(spark):
+    """Places from first to last give the pairs of the join by buckets, with equal times, repeated ids and rows without id or
+    time; a group of many equal times has a row for each of its rows, not for each pair."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), i if i % 19 else i // 19 % 3, rng.choice([rng.randrange(4_000), 700, None])) for i in range(200)]
+    rows += [("b", None, 700), ("c", 500, 0), ("c", 501, 60), ("c", 502, 121), ("c", 502, 121), ("c", 502, 180)]
+    rows = spark.createDataFrame(rows, "album string, item_id long, s long").withColumn("taken", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, s)"))
+    out = temporal.range_links(rows, "album", 60_000_000).collect()
+    assert sorted(((r.album, r.item_id) for r in out), key=str) == sorted(((r.album, r.item_id) for r in rows.collect()), key=str)
+    at = {(r.album, r.place): r for r in out if r.place is not None}
+    got = sorted((r.album, r.item_id, at[r.album, p].item_id) for r in at.values() for p in range(r.first_place, r.last_place + 1) if at[r.album, p].item_id != r.item_id)
+    want = sorted((r.album, r.hero_id, r.item_id) for r in temporal.range_candidates(rows, rows, "album", 60_000_000).collect())
+    assert got == want and len(want) > 500 and sum(r.links for r in out) == len(want)
+    links = {}
+    for album, hero, _ in want:
+        links[album, hero] = links.get((album, hero), 0) + 1
+    assert links == {k: n for k in {(r.album, r.item_id) for r in out} if (n := sum(r.links for r in out if (r.album, r.item_id) == k))}
+    assert sorted((r.item_id, r.class_id, r.links) for r in out if r.album == "c") == [(500, 500, 1), (501, 500, 1), (502, 502, 0), (502, 502, 0), (502, 502, 0)]
+    many = spark.range(30_000).select(F.lit("a").alias("album"), F.col("id").alias("item_id"), F.lit(datetime(2024, 1, 1)).alias("taken"))
+    assert temporal.range_links(many, "album", 60_000_000).agg(F.count("*"), F.min("links"), F.max("links")).first()[:] == (30_000, 29_999, 29_999)
+
+
 def test_bands_equal_all_pairs(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(63) for _ in range(40)]
