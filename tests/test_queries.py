@@ -67,14 +67,26 @@ def test_pack_slides_places_up_to_capacity(spark):
 
 
 def test_near_dup_bands_of_all_events(spark, tmp_path):
-    """Events of any id are paired, as brute force pairs them."""
+    """Events of any id are linked: the links between codes and within them hold the pairs of brute force, each copy once; also
+    where an id has two codes."""
     ks = [(i * 37 % 9) if i < 60 else 5 for i in range(70)]
-    rows = [(i * 997, f'{{"k": {k}}}') for i, k in enumerate(ks)]
-    spark.createDataFrame(rows, "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
-    codes = [(i * 997, k * 40503 % 65536) for i, k in enumerate(ks)]
-    want = {(a, b, (x ^ y).bit_count()) for a, x in codes for b, y in codes if a < b and (x ^ y).bit_count() <= 1}
-    got = [tuple(r) for r in catalog.QUERIES["near_dup_bands_whole"](spark, str(tmp_path)).select("a", "b", "bits").collect()]
-    assert len(got) == len(want) and set(got) == want and max(b for _, b, _ in want) > 3000
+    k, near, far = (c * pow(40503, -1, 65536) % 65536 for c in (5 * 40503 % 65536, 5 * 40503 % 65536 ^ 8, 5 * 40503 % 65536 ^ 24))
+    ks += [near] * 9 + [far]
+    for at, more in (("one", []), ("two", [(-1, k), (-1, near), (-1, near), (0, far), (997, 9), (None, 5)])):
+        rows = [(i * 997, f'{{"k": {k}}}') for i, k in enumerate(ks)] + [(i, f'{{"k": {k}}}') for i, k in more] + [(7, None)]
+        spark.createDataFrame(rows, "event_id long, props string").write.parquet(f"{tmp_path}/{at}/events.parquet")
+        codes = [(i * 997, k * 40503 % 65536) for i, k in enumerate(ks)] + [(i, k * 40503 % 65536) for i, k in more if i is not None]
+        want = {(a, b, (x ^ y).bit_count()) for a, x in codes for b, y in codes if a < b and (x ^ y).bit_count() <= 1}
+        out = [tuple(r) for r in catalog.QUERIES["near_dup_bands_whole"](spark, f"{tmp_path}/{at}").select("a", "b", "bits").collect()]
+        assert max(b for _, b, _ in want) > 3000 and sum(n for *_, n in want) > 100 and (more or len(want) > 4 * len(out))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/{at}/events.parquet/*.parquet'")
+        assert sorted(out) == sorted(con.execute(catalog.ORACLES["near_dup_bands_whole"]).fetchall())
+        # What a link says of the rows of its ends' codes; an id with two codes is tried with both.
+        mine = {i: {x for j, x in codes if j == i} for i, _ in codes}
+        got = {(*sorted((p, q)), n) for a, b, n in out for x in mine[a] for y in mine[b] if (x ^ y).bit_count() == n for p, u in codes for q, v in codes if u == x and v == y and p != q}
+        got |= {(p, q, 0) for p, u in codes for q, v in codes if u == v and p < q}
+        assert got == want
 
 
 def test_blocks_of_references_agree(spark):
