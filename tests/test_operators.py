@@ -4,6 +4,7 @@ import itertools
 import random
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +187,25 @@ def test_near_codes_in_blocks(spark):
     assert {tuple(r) for r in dedup.near_pairs(rows, "id", 2, bits=24).collect()} == pairs
 
 
+@pytest.mark.parametrize("strip,batch", [(1 << 14, 1 << 18), (7, 20)])
+def test_near_codes_by_all_ways(monkeypatch, strip, batch):
+    """Each pair in one way only, whatever is held against each other at a time, also where a block of bits is the same in many
+    codes; and that of two sets of codes."""
+    monkeypatch.setattr(dedup, "STRIP", strip)
+    monkeypatch.setattr(dedup, "BATCH", batch)
+    rng = random.Random(12)
+    for bits, most in ((63, 8), (32, 4), (16, 1), (64, 2)):
+        base = [rng.getrandbits(bits) for _ in range(30)] + [rng.getrandbits(8) for _ in range(30)]
+        codes = sorted({rng.choice(base) ^ sum(1 << b for b in rng.sample(range(bits), rng.randrange(most + 2))) for _ in range(400)})
+        want = {(a, b) for i, a in enumerate(codes) for b in codes[i + 1 :] if (a ^ b).bit_count() <= most}
+        ways = dedup.masks(len(codes), most, bits)
+        for one, two in ((codes, None), (codes[::2], codes[1::2])):
+            sides = [None if x is None else np.array(x, np.uint64) for x in (one, two)]
+            got = [tuple(sorted((int(a), int(b)))) for w in ways for x, y in dedup.met(*sides, w, most, len(w[0]) - most - (bits < 64)) for a, b in zip(x, y)]
+            assert len(got) == len(set(got)) and set(got) == {p for p in want if two is None or (p[0] in one) != (p[1] in one)}
+        assert len(want) > 100
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i != 30] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in dedup.components(edges).collect()}

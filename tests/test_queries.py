@@ -89,6 +89,18 @@ def test_near_dup_bands_of_all_events(spark, tmp_path):
         assert got == want
 
 
+def test_near_dup_eight_of_copies(spark, tmp_path):
+    """Copies whose ids give the same code are linked with the least of them only; codes of a scene are linked once."""
+    ids = [i + n * 3 * 2**31 for n in range(20) for i in range(30)] + [None]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    out = sorted(map(tuple, catalog.QUERIES["near_dup_eight"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert out == sorted(con.execute(catalog.ORACLES["near_dup_eight"]).fetchall())
+    assert {(a, b) for a, b, n in out if not n} == {(i % (3 * 2**31), i) for i in ids[30:-1]}
+    assert {(a, b) for a, b, n in out if n} >= {(i, j) for i in range(30) for j in range(i + 1, i // 3 * 3 + 3)} and len(out) < 700
+
+
 def test_blocks_of_references_agree(spark):
     """The nearest references are the same whether they come in one block or in many."""
     q, r = sides(spark, DIR)
